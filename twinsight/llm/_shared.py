@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,23 +61,18 @@ def held_out(doc_id: str = "doc_id"):
 def by_pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Split batches so that one piece holds about max_bytes of the column, or one row if that row is larger."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.cumsum([0, *(len(x) if x is not None else 0 for x in _buffers(batch.column(column)))])
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + max_bytes, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + max_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
 
-def _buffers(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist() if column.type != pa.binary() else column.to_pylist()
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
-    return [x or b"" for x in _buffers(column)]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -86,13 +82,13 @@ def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator
 class Words:
     """Words of many texts at once: byte spans, the text each belongs to, and 64-bit hashes, computed with numpy."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], blanks: np.ndarray = SPACE):
         self.texts = len(texts)
         joined = b" ".join(texts) + b" "
         self.bytes = np.frombuffer(joined, np.uint8)
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.text_start = np.concatenate(([0], np.cumsum(lengths + 1)))
-        blank = SPACE[self.bytes]
+        blank = blanks[self.bytes]
         before = np.concatenate(([True], blank[:-1]))
         self.start = np.flatnonzero(before & ~blank)
         self.end = np.flatnonzero(~before & blank)
