@@ -1,5 +1,6 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
+from .decontamination import op2_decontamination
 from .language_id import op3_language_id
 from .packing import op7_best_fit_packing
 from .quality_classifier import op9_quality_classifier
@@ -8,5 +9,5 @@ from .secrets import op5_secret_scan
 from .sstable import op6_token_shards
 from .warc import op8_warc_archives
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_secret_scan, op6_token_shards, op7_best_fit_packing, op8_warc_archives, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op5_secret_scan, op6_token_shards, op7_best_fit_packing, op8_warc_archives, op9_quality_classifier, op10_quality_rules)}
 SQL = {"op10_quality_rules": OP10_SQL}
