@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_partition: int =
     local = materialise(arrow_map(dealt, _pack_partition(capacity), f"{kinds}, bin long, offset long, fill long, up boolean"), "local-bins")
     carried = local.where("up").groupBy("bin").agg(F.first("fill").alias("fill")).select(
         "bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "fill", F.expr(f"shiftright(bin, {_BIN_BITS}) div {FAN_IN}").alias("group"), F.lit(True).alias("up"))
-    groups, settled = -(-dealt.rdd.getNumPartitions() // FAN_IN), None
+    groups, settled = max(1, -(-dealt.rdd.getNumPartitions() // FAN_IN)), None
     while True:
         level = materialise(arrow_map(carried.repartition(min(groups, 200), "group"), _merge_groups(capacity), "bin long, root long, shift long, fill long, group long, up boolean"), "merged-bins")
         if groups == 1:
