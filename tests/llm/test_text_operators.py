@@ -162,9 +162,9 @@ def test_line_counts_equal_plain_version(spark):
 
 
 def test_lines_go_before_documents(spark):
-    prose = "This line is plain prose that says one thing or another and then ends here number %d of them."
-    good = "\n".join(prose % k for k in range(6))
-    junk = "\n".join(f"Home | News {k} | Sport | Weather" for k in range(30))
-    rows = quality_rules.clean_lines(frame(spark, [good, good + "\nHome | News | Sport | Weather", junk + "\n" + prose % 1])).orderBy("doc_id").collect()
+    prose = [" ".join(f"word{k}x{j}" for j in range(15)) + " ends here." for k in range(7)]
+    good = "\n".join(prose[:6])
+    junk = "\n".join(f"Home{k} | News {k} | Sport{k} | Weather" for k in range(30))
+    rows = quality_rules.clean_lines(frame(spark, [good, good + "\nHome | News | Sport | Weather", junk + "\n" + prose[6]])).orderBy("doc_id").collect()
     assert [r["kept"] for r in rows] == [True, True, False]
     assert rows[1]["clean_text"] == good
