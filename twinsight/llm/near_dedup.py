@@ -213,36 +213,102 @@ def merged(groups: DataFrame, confirmed: DataFrame) -> DataFrame:
     return materialise(groups.join(moves, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "groups")
 
 
-def crossing(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """The edges whose ends lie in different groups."""
-    return edges.join(groups.withColumnsRenamed({"v": "a", "root": "ra"}), "a").join(groups.withColumnsRenamed({"v": "b", "root": "rb"}), "b").where("ra <> rb").drop("ra", "rb")
-
-
 def closest(edges: DataFrame) -> DataFrame:
     """For each end of the edges (a, b, by) the one with the smallest by."""
     ends = [edges.groupBy(x).agg(F.min(F.struct("by", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)) for x, y in ("ab", "ba")]
     return ends[0].unionByName(ends[1]).distinct()
 
 
-def close_pairs(shared: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b, by: pairs that share a bucket, lie in different groups and are within DISTANCE, with the distance."""
+def best_between(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of the edges (a, b, by) between each two groups the one with the smallest by."""
+    across = edges.join(groups.withColumnsRenamed({"v": "a", "root": "ra"}), "a").join(groups.withColumnsRenamed({"v": "b", "root": "rb"}), "b").where("ra <> rb")
+    best = across.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("by", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b")
+
+
+#: Rows of a bucket's largest group that meet the others in one place.
+_PART = 4096
+
+
+def close_pairs(shared: DataFrame, groups: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+    """a, b, by: pairs that share a bucket, lie in different groups and are within DISTANCE, with the distance.
+
+    Each pair comes out of one bucket only, the first that it shares. With best_only a bucket gives the closest pair of
+    each two groups. In a bucket only pairs with a row outside its largest group are compared; the largest group's rows
+    are cut into parts which the others are copied to, so a bucket of any size is spread over tasks.
+    """
     rows = materialise(shared.select("key", "v").distinct().join(groups, "v"), "bucket-groups")
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(open_keys, "key").join(reps.select("v", "n"), "v")
-    x, y = (rows.select("key", F.col("v").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    fits = "a < b and ra <> rb and 100 * least(na, nb) >= %d * greatest(na, nb)" % SIMILAR_PERCENT
-    pairs = x.join(y, "key").where(fits).select("a", "b").distinct()
-    sigs = reps.select("v", "sig")
-    pairs = pairs.join(sigs.withColumnsRenamed({"v": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"v": "b", "sig": "sb"}), "b")
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    heads = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    heads = heads.select("key", F.col("top.root").alias("head"), F.ceil(F.col("top.n") / _PART).cast("int").alias("parts"))
+    rows = rows.join(heads, "key").withColumn("in_head", F.col("root") == F.col("head"))
+    part = F.when(F.col("in_head"), F.array(F.pmod(F.xxhash64("v"), F.col("parts").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
+    rows = rows.select("key", "v", "root", "in_head", F.explode(part).alias("part")).join(reps.select("v", "n", "sig"), "v")
+    dealt = rows.select("key", "part", "v", "root", "in_head", "n", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "v")
+    return materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
+
+
+def _compare_buckets(best_only: bool):
+    ends = np.cumsum([0, *(len(c) for c in _CHUNKS)])
+    chunk_of = np.repeat(np.arange(CHUNKS), np.diff(ends))
+
+    def first_key(different: np.ndarray) -> np.ndarray:
+        """The first place whose key two signatures share, for rows of places that differ."""
+        errors = np.add.reduceat(different, ends[:-1], axis=1, dtype=np.int64)
+        chunk = (errors <= 1).argmax(1)
+        inside = different & (chunk_of[None, :] == chunk[:, None])
+        return np.where(errors[np.arange(len(errors)), chunk] == 1, inside.argmax(1), ends[chunk])
+
+    def bucket(key: int, part: int, v: np.ndarray, root: np.ndarray, head: np.ndarray, n: np.ndarray, sig: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        place = int(np.flatnonzero(keys[0] == key)[0])
+        found = []
+        for i in np.flatnonzero(~head):
+            # A row outside the largest group meets that group's rows, and in part 0 also others after it.
+            other = (root != root[i]) & (head | ((part == 0) & (np.arange(len(v)) > i)))
+            other &= 100 * np.minimum(n, n[i]) >= SIMILAR_PERCENT * np.maximum(n, n[i])
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            different = sig[at] != sig[i]
+            far = different.sum(1)
+            ok = np.flatnonzero(far <= DISTANCE)
+            if not best_only:
+                ok = ok[first_key(different[ok]) == place] if len(ok) else ok
+            found += [(min(int(v[i]), int(v[j])), max(int(v[i]), int(v[j])), int(d), min(int(root[i]), int(root[j])), max(int(root[i]), int(root[j]))) for j, d in zip(at[ok], far[ok], strict=True)]
+        if best_only:
+            best: dict[tuple[int, int], tuple] = {}
+            for a, b, d, x, y in found:
+                best[x, y] = min(best.get((x, y), (1 << 30,)), (d, a, b))
+            return [(a, b, d) for d, a, b in best.values()]
+        return [f[:3] for f in found]
+
+    def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, part, v, root, head, n, sig = columns
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+        first_keys = bucket_keys(sig[start]).view(np.int64)
+        found = []
+        for k, (x, y) in enumerate(zip(start, [*start[1:], len(key)], strict=True)):
+            if y - x > 1:
+                found += bucket(int(key[x]), int(part[x]), v[x:y], root[x:y], head[x:y], n[x:y], sig[x:y], first_keys[k : k + 1])
+        a, b, d = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ([], [], [])))
+        return _batch(["a", "b", "by"], a, b, d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for k in ("sa", "sb"))
-            far = (sa != sb).sum(1)
-            near = np.flatnonzero(far <= DISTANCE)
-            yield _batch(["a", "b", "by"], batch.column("a").to_numpy()[near], batch.column("b").to_numpy()[near], far[near].astype(np.int64))
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SYMBOLS)]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            # The last bucket may go on in the next batch.
+            last = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1]) + 1 if ((held[0] != held[0][-1]) | (held[1] != held[1][-1])).any() else 0
+            if last:
+                yield flush([c[:last] for c in held])
+                held = [c[last:] for c in held]
+        if held is not None:
+            yield flush(held)
 
-    return materialise(arrow_map(pairs, run, "a long, b long, by long"), "close-pairs")
+    return run
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -257,12 +323,21 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     hubs = materialise(hubs, "hub-edges")
     tested = confirm(closest(hubs), documents, reps, width)
     groups = merged(groups, tested)
-    now = confirm(closest(crossing(hubs.join(tested, ["a", "b"], "left_anti"), groups)), documents, reps, width)
-    tested, groups = tested.unionByName(now), merged(groups, now)
-    close = close_pairs(shared, groups, reps).join(tested, ["a", "b"], "left_anti")
-    now = confirm(closest(close), documents, reps, width)
-    groups = merged(groups, now)
-    groups = merged(groups, confirm(crossing(close.join(now, ["a", "b"], "left_anti"), groups), documents, reps, width))
+
+    def settle(edges: DataFrame) -> bool:
+        """Confirm edges that were not before and merge groups; whether any merged."""
+        nonlocal tested, groups
+        now = confirm(edges.join(tested, ["a", "b"], "left_anti"), documents, reps, width)
+        tested, before = tested.unionByName(now), groups
+        groups = merged(groups, now)
+        return groups is not before
+
+    # One edge between each two groups and round: groups that belong together soon are one.
+    while settle(best_between(hubs.join(tested, ["a", "b"], "left_anti"), groups)):
+        pass
+    while settle(best_between(close_pairs(shared, groups, reps, best_only=True), groups)):
+        pass
+    settle(close_pairs(shared, groups, reps, best_only=False))
     lowest = groups.join(reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
     named = reps.select("c1", "c2", "v", "id").join(groups, "v", "left").join(lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
     own = F.coalesce("doc_id", F.lit(_NO_ID))
