@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..operators import api_profile, drift, findings, graph, regions, retrieval
+from ..operators import api_profile, drift, findings, graph, regions, retrieval, verification
 from ..sinks import cpd_files, cpd_heads, first_pairs, sarif_results
 from . import tables as T
 
@@ -333,9 +333,15 @@ def sarif(spark, d):
     return sarif_results(findings.gate(groups.join(_spans(spark, d), "unit_id").withColumn("path", F.concat("file", F.lit(".txt")))))
 
 
+def anti_unify(spark, d):
+    """Verdicts on the pairs that bags find, from templates over lines and words."""
+    texts = T.table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text")
+    return verification.verify(bag_jaccard(spark, d), texts)
+
+
 QUERIES = {f.__name__: f for f in (
     exact_groups, exact_members, generated_filter, size_floor_stats, first_representative, document_frequency, bag_pairs, bag_jaccard, landmark_pairs, landmark_candidates, candidate_union, size_gate,
     offset_histogram, pair_exclusion, pair_parity, kgram_regions, region_containment, nested_exclusion, components, group_template_min_by, group_containment, subset_dedupe, internal_repeats,
     consolidation_value, test_policy, rank_sections, topk, findings_by_tier, gate, dup_line_ratio, dup_token_ratio, api_signatures, api_pairs, weighted_jaccard, call_resolution, diff_hunks, touched_units,
-    inconsistent_update, check_new, check_worsened, check_drifting, base_member_mapping, scc, jscpd_pairs, cpd_file_elements, cpd_xml, sarif,
+    inconsistent_update, check_new, check_worsened, check_drifting, base_member_mapping, scc, jscpd_pairs, cpd_file_elements, cpd_xml, sarif, anti_unify,
 )}
