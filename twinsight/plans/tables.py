@@ -5,7 +5,7 @@ Words are split at ASCII white space and lower-cased; runs of digits become INT,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
@@ -21,14 +21,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def token(word: Column) -> Column:
-    return F.when(word.isin("0", "1"), word).otherwise(F.regexp_replace(F.lower(word), "[0-9]+", "INT"))
+_SPACE = r" \t\n\x0B\f\r"
+#: A run of digits, unless it is the whole word 0 or 1.
+_DIGITS = rf"(?!(?<![^{_SPACE}])[01](?![^{_SPACE}]))[0-9]+"
+
+
+def tokens(text: Column) -> Column:
+    """Normalised words, made from the whole text so that no step runs for each word."""
+    return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _DIGITS, "INT"))
 
 
 def units(documents: DataFrame) -> DataFrame:
     """unit_id, lang, dir, toks, token_count, fp: one for each row, the fingerprint over normalised words."""
-    toks = F.transform(words(F.col("text")), token)
-    out = documents.select(F.col("doc_id").alias("unit_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("dir"), toks.alias("toks"))
+    out = documents.select(F.col("doc_id").alias("unit_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("dir"), tokens(F.col("text")).alias("toks"))
     return out.withColumns({"token_count": F.size("toks").cast("long"), "fp": F.md5(F.array_join("toks", " "))})
 
 
@@ -68,7 +73,7 @@ def lines(documents: DataFrame) -> DataFrame:
     """unit_id, lang, dir, line_no (from 1), n_lines, line (normalised), line_tokens of lines with a word."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     out = documents.select(F.col("doc_id").alias("unit_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("dir"), F.size(split).alias("n_lines"), F.posexplode(split).alias("at", "raw"))
-    out = out.withColumn("toks", F.transform(words(F.col("raw")), token)).where(F.size("toks") > 0)
+    out = out.withColumn("toks", tokens(F.col("raw"))).where(F.size("toks") > 0)
     return out.select("unit_id", "lang", "dir", (F.col("at") + 1).cast("long").alias("line_no"), F.col("n_lines").cast("long").alias("n_lines"), F.array_join("toks", " ").alias("line"), F.size("toks").cast("long").alias("line_tokens"))
 
 
@@ -81,7 +86,3 @@ def hunks(labels: DataFrame) -> DataFrame:
     """file, l0, l1: lines that a change touches; toxic documents are changed in lines 1 to 2, or 3 to 4 if good."""
     first = F.lit(1) + 2 * F.col("quality")
     return labels.where("toxic = 1").select(F.col("doc_id").alias("file"), first.cast("long").alias("l0"), (first + 1).cast("long").alias("l1"))
-
-
-def rank_within(*keys: str) -> Window:
-    return Window.partitionBy(*keys)
