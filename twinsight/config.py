@@ -37,3 +37,17 @@ class Thresholds:
 
 
 DEFAULT = Thresholds()
+
+
+def load(root: str) -> Thresholds:
+    """Thresholds from root/twinsight.toml: keys of its [thresholds] table; unknown keys are ignored, a missing file gives the defaults."""
+    import tomllib
+    from dataclasses import fields
+    from pathlib import Path
+
+    path = Path(root) / "twinsight.toml"
+    if not path.exists():
+        return DEFAULT
+    given = tomllib.loads(path.read_text(encoding="utf-8")).get("thresholds", {})
+    known = {f.name for f in fields(Thresholds)}
+    return Thresholds(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known})
