@@ -44,12 +44,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later reads recompute nothing and survive a lost executor."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop_scratch(df_path: str, spark: SparkSession) -> None:
-    """Delete a path made by scratch()."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table from materialise() that nothing will read again."""
+    spark = table.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 

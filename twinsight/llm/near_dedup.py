@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Words, arrow_map, by_pieces, materialise, mix64, rolling, utf8
+from ._shared import Words, arrow_map, by_pieces, discard, materialise, mix64, rolling, utf8
 
 SIMILAR_PERCENT = 80
 SYMBOLS, CHUNKS, DISTANCE = 128, 21, 41
@@ -194,7 +194,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = materialise(step, "labels")
         jumps = step.select(F.col("v").alias("root"), F.col("root").alias("above"))
         done = materialise(step.join(jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
+        discard(step)
         if done.where("root <> old").isEmpty():
+            discard(both)
+            discard(done)
             return labels
         labels = done.drop("old")
 
@@ -219,10 +222,14 @@ def closest(edges: DataFrame) -> DataFrame:
     return ends[0].unionByName(ends[1]).distinct()
 
 
+#: Edges between the same two groups that one round tries, and rounds before all that are left are compared.
+_TRIES, _ROUNDS = 8, 2
+
+
 def best_between(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of the edges (a, b, by) between each two groups the one with the smallest by."""
+    """Of the edges (a, b, by) between each two groups _TRIES at most: the one with the smallest by of each share."""
     across = edges.join(groups.withColumnsRenamed({"v": "a", "root": "ra"}), "a").join(groups.withColumnsRenamed({"v": "b", "root": "rb"}), "b").where("ra <> rb")
-    best = across.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("by", "a", "b")).alias("best"))
+    best = across.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"), F.pmod(F.xxhash64("a", "b"), F.lit(_TRIES)).alias("share")).agg(F.min(F.struct("by", "a", "b")).alias("best"))
     return best.select("best.a", "best.b")
 
 
@@ -237,7 +244,7 @@ def close_pairs(shared: DataFrame, groups: DataFrame, reps: DataFrame, best_only
     each two groups. In a bucket only pairs with a row outside its largest group are compared; the largest group's rows
     are cut into parts which the others are copied to, so a bucket of any size is spread over tasks.
     """
-    rows = materialise(shared.select("key", "v").distinct().join(groups, "v"), "bucket-groups")
+    rows = table = materialise(shared.select("key", "v").distinct().join(groups, "v"), "bucket-groups")
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     heads = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     heads = heads.select("key", F.col("top.root").alias("head"), F.ceil(F.col("top.n") / _PART).cast("int").alias("parts"))
@@ -245,7 +252,9 @@ def close_pairs(shared: DataFrame, groups: DataFrame, reps: DataFrame, best_only
     part = F.when(F.col("in_head"), F.array(F.pmod(F.xxhash64("v"), F.col("parts").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
     rows = rows.select("key", "v", "root", "in_head", F.explode(part).alias("part")).join(reps.select("v", "n", "sig"), "v")
     dealt = rows.select("key", "part", "v", "root", "in_head", "n", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "v")
-    return materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
+    pairs = materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
+    discard(table)
+    return pairs
 
 
 def _compare_buckets(best_only: bool):
@@ -272,8 +281,7 @@ def _compare_buckets(best_only: bool):
             different = sig[at] != sig[i]
             far = different.sum(1)
             ok = np.flatnonzero(far <= DISTANCE)
-            if not best_only:
-                ok = ok[first_key(different[ok]) == place] if len(ok) else ok
+            ok = ok[first_key(different[ok]) == place] if len(ok) else ok
             found += [(min(int(v[i]), int(v[j])), max(int(v[i]), int(v[j])), int(d), min(int(root[i]), int(root[j])), max(int(root[i]), int(root[j]))) for j, d in zip(at[ok], far[ok], strict=True)]
         if best_only:
             best: dict[tuple[int, int], tuple] = {}
@@ -332,11 +340,14 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
         groups = merged(groups, now)
         return groups is not before
 
-    # One edge between each two groups and round: groups that belong together soon are one.
-    while settle(best_between(hubs.join(tested, ["a", "b"], "left_anti"), groups)):
-        pass
-    while settle(best_between(close_pairs(shared, groups, reps, best_only=True), groups)):
-        pass
+    # A few edges between each two groups and round: groups that belong together soon are one. Whatever the rounds
+    # leave open, the last step compares in full.
+    for _ in range(_ROUNDS):
+        if not settle(best_between(hubs.join(tested, ["a", "b"], "left_anti"), groups)):
+            break
+    for _ in range(_ROUNDS):
+        if not settle(best_between(close_pairs(shared, groups, reps, best_only=True).join(tested, ["a", "b"], "left_anti"), groups)):
+            break
     settle(close_pairs(shared, groups, reps, best_only=False))
     lowest = groups.join(reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
     named = reps.select("c1", "c2", "v", "id").join(groups, "v", "left").join(lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
