@@ -184,16 +184,25 @@ def confirm(edges: DataFrame, documents: DataFrame, reps: DataFrame, width: int)
     return materialise(arrow_map(pairs, run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
 
 
+#: Steps towards the root that a round of components() takes after each exchange between neighbours.
+_JUMPS = 3
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """v, root for each vertex of the edges (a, b): its component's smallest vertex, by propagation and jumps."""
+    """v, root for each vertex of the edges (a, b): its component's smallest vertex, by propagation and jumps.
+
+    A jump costs less than an exchange, which goes over all edges; several of them for each exchange save rounds.
+    """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         told = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("told"))
-        step = labels.join(told, "v").select("v", F.least("root", "told").alias("root"), F.col("root").alias("old"))
-        step = materialise(step, "labels")
+        step = materialise(labels.join(told, "v").select("v", F.least("root", "told").alias("root"), F.col("root").alias("old")), "labels")
         jumps = step.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        done = materialise(step.join(jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
+        done = step
+        for _ in range(_JUMPS):
+            done = done.join(jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old")
+        done = materialise(done, "labels")
         discard(step)
         if done.where("root <> old").isEmpty():
             discard(both)
@@ -237,24 +246,33 @@ def best_between(edges: DataFrame, groups: DataFrame) -> DataFrame:
 _PART = 4096
 
 
-def close_pairs(shared: DataFrame, groups: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+def open_buckets(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, v, root: of the rows (key, v) those of buckets whose members lie in several groups.
+
+    Groups only ever merge, so a bucket that is closed stays closed and the next round can start from this result.
+    """
+    now = materialise(rows.select("key", "v").join(groups, "v"), "bucket-groups")
+    still = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    out = materialise(now.join(still, "key", "left_semi").select("key", "v", "root"), "open-buckets")
+    discard(now)
+    return out
+
+
+def close_pairs(rows: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
     """a, b, by: pairs that share a bucket, lie in different groups and are within DISTANCE, with the distance.
 
     Each pair comes out of one bucket only, the first that it shares. With best_only a bucket gives the closest pair of
     each two groups. In a bucket only pairs with a row outside its largest group are compared; the largest group's rows
     are cut into parts which the others are copied to, so a bucket of any size is spread over tasks.
     """
-    rows = table = materialise(shared.select("key", "v").distinct().join(groups, "v"), "bucket-groups")
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    heads = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    heads = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"))
     heads = heads.select("key", F.col("top.root").alias("head"), F.ceil(F.col("top.n") / _PART).cast("int").alias("parts"))
     rows = rows.join(heads, "key").withColumn("in_head", F.col("root") == F.col("head"))
     part = F.when(F.col("in_head"), F.array(F.pmod(F.xxhash64("v"), F.col("parts").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
     rows = rows.select("key", "v", "root", "in_head", F.explode(part).alias("part")).join(reps.select("v", "n", "sig"), "v")
     dealt = rows.select("key", "part", "v", "root", "in_head", "n", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "v")
-    pairs = materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
-    discard(table)
-    return pairs
+    return materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
 
 
 def _compare_buckets(best_only: bool):
@@ -345,10 +363,12 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     for _ in range(_ROUNDS):
         if not settle(best_between(hubs.join(tested, ["a", "b"], "left_anti"), groups)):
             break
+    rows = shared.select("key", "v").distinct()
     for _ in range(_ROUNDS):
-        if not settle(best_between(close_pairs(shared, groups, reps, best_only=True).join(tested, ["a", "b"], "left_anti"), groups)):
+        rows = open_buckets(rows, groups)
+        if not settle(best_between(close_pairs(rows, reps, best_only=True).join(tested, ["a", "b"], "left_anti"), groups)):
             break
-    settle(close_pairs(shared, groups, reps, best_only=False))
+    settle(close_pairs(open_buckets(rows, groups), reps, best_only=False))
     lowest = groups.join(reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
     named = reps.select("c1", "c2", "v", "id").join(groups, "v", "left").join(lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
     own = F.coalesce("doc_id", F.lit(_NO_ID))
