@@ -90,6 +90,24 @@ def test_regions_are_left_maximal_runs(spark):
     assert sorted(tuple(r) for r in regions.outermost_spans(spans).collect()) == [(1, 0, 10), (1, 8, 12), (2, 2, 5)]
 
 
+def test_regions_order_by_whole_suffixes(spark):
+    # Pairs share 400, 250 and 100 words; the first unit's closest one comes last by identifier.
+    w = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    units = T.units(docs(spark, [" ".join(w) + " u", " ".join(w[:100]) + " v", " ".join(w[:250]) + " w", " ".join(w) + " x", " ".join(w)]))
+    rows = {(r["unit_a"], r["unit_b"], r["length"]) for r in regions.neighbour_regions(units).collect()}
+    assert rows == plain_regions(units.collect(), 30) and max(r[2] for r in rows) == 400
+
+
+def plain_regions(units, k):
+    at = sorted((u["toks"][p:], u["unit_id"], p, u["toks"][p - 1] if p else None) for u in units for p in range(len(u["toks"])))
+    out = set()
+    for (s, a, _, x), (t, b, _, y) in zip(at, at[1:], strict=False):
+        n = next((i for i, (c, d) in enumerate(zip(s, t, strict=False)) if c != d), min(len(s), len(t)))
+        if n >= k and a != b and (x is None or y is None or x != y):
+            out.add((min(a, b), max(a, b), n))
+    return out
+
+
 def test_internal_repeats(spark):
     line = "one two three four five six"
     pair = f"{line}\nother words stand here now again"
