@@ -43,6 +43,15 @@ def test_encoder_equals_library(name):
         assert e.encode(text) == e.whole(text), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_library_for_each_plain_letter(name):
+    from twinsight.llm.tokens import PLAIN_BELOW, Encoder
+
+    e = Encoder(public_tokenizers.path(name))
+    for text in [f"{a}{chr(c)}li {chr(c)} 1{chr(c)}" for c in range(0x20, PLAIN_BELOW) for a in ("", "x")] + ["Əli", "ƐWƆ na Ɖe"]:
+        assert e.encode(text) == e.whole(text), text
+
+
 def test_token_shards_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     df = frame(spark, TEXTS, first=-3).unionByName(spark.createDataFrame([(None, "null key", None, None, None), (0, "again", None, None, None)], SCHEMA))

@@ -1,7 +1,7 @@
 """Token ids of many texts with a file of the tokenizers library.
 
 Byte-pair encoding works on one pre-token at a time, so a text's ids are the ids of its pre-tokens in a row. Texts
-whose characters all lie below U+0250 are split here and each distinct pre-token goes once through the library's
+whose characters all lie below U+0250, also once they are normalised, are split here and each distinct pre-token goes once through the library's
 model; any other text, or one with a special token's string in it, goes through the library as a whole.
 """
 
@@ -33,6 +33,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _folded(text: str) -> str:
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+
+
 class Encoder(dict):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; encode() does whole texts."""
 
@@ -48,11 +52,11 @@ class Encoder(dict):
         kinds = [s and s["type"] for s in steps]
         normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         if kinds == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and not spec["normalizer"]:
-            self.split = _LEADING_SPACE.findall
+            self.normal, self.split = str, _LEADING_SPACE.findall
         elif kinds == ["Split", "ByteLevel"] and not steps[1]["use_regex"] and normalizers == ["NFC", "Replace", "Lowercase"]:
-            self.split = lambda text: _SPACELESS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+            self.normal, self.split = _folded, _SPACELESS.findall
         else:
-            self.split = None
+            self.normal, self.split = str, None
         self.letters = _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
@@ -71,7 +75,11 @@ class Encoder(dict):
             return b""
         if self.split is None or _ODD.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        shown = self.normal(text)
+        # Capitals below PLAIN_BELOW can have their small letter above it.
+        if shown is not text and not shown.isascii() and _ODD.search(shown):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, self.split(shown)))
 
 
 _encoders: dict[str, Encoder] = {}
