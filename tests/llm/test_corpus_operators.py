@@ -176,6 +176,19 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat_format.link_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_chains_and_what_follows_a_cycle(spark):
+    call = lambda i, *waits: chat_format.canonical({"tool_calls": [{"id": i, "name": "f", "arguments": [{"$result": w} for w in waits]}]})
+    result = lambda i: chat_format.canonical({"tool_call_id": i, "content": "ok"})
+    rows = [(1, 2 * k, "assistant", call(f"c{k}", *([f"c{k - 1}"] if k else []))) for k in range(36)] + [(1, 2 * k + 1, "tool", result(f"c{k}")) for k in range(36)]
+    rows += [(2, 0, "assistant", call("p", "q")), (2, 1, "assistant", call("q", "p")), (2, 2, "assistant", call("s", "s")), (2, 3, "assistant", call("x", "q", "a")), (2, 4, "assistant", call("y", "x")), (2, 5, "assistant", call("a", "lone"))]
+    rows += [(2, 10 + k, "tool", result(i)) for k, i in enumerate(["p", "q", "s", "x", "y", "a", "lone"])]
+    out = chat_format.link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["link"], r["level"]) for r in out}
+    assert len(out) == len(rows) and all(got[1, t] == ("linked", t) for t in range(72))
+    assert [got[2, t] for t in range(6)] == [("cycle", None)] * 3 + [("linked", None)] * 2 + [("linked", 1)]
+    assert [got[2, 10 + t] for t in range(7)] == [("cycle", None)] * 3 + [("linked", None)] * 2 + [("linked", 2), ("no call", 0)]
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     import corpus_pipeline
 

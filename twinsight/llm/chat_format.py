@@ -7,10 +7,12 @@ assistant turn, so that these go through the same steps.
 
 Calls and results meet by a hash join on (conversation, identifier). A node's level is the longest way to it from a
 node that waits for nothing: a result waits for its call, a call for results that its arguments name. Levels are found
-by repeated joins and rows stay apart, so that no conversation has to fit in one task; order rows by (level, turn, part).
+by repeated joins, one round for each call on the longest chain of waiting calls, and rows stay apart, so that no
+conversation has to fit in one task; order rows by (level, turn, part).
 
 Defined results: null conversation, turn, role or text are kept as plain messages of their own; a result without call,
-a call without result and a cycle are marked in `link`, and nodes of a cycle have a null level; of repeated identifiers
+a call without result and a cycle are marked in `link`; nodes of a cycle have a null level, as have those that wait for
+one, which keep their `link`; of repeated identifiers
 in a conversation the first call and the first result by turn are linked, the others are marked `repeated`; text that
 isn't valid JSON is a plain message; an empty table gives an empty table.
 """
@@ -24,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import strongly_connected
 from ._shared import arrow_map, materialise
 
 REPLY = "reply"
 #: Schemas of known tools: JSON Schema with type, properties, required, enum, items and additionalProperties.
 SCHEMAS = {REPLY: {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}}, "required": ["prompt"], "additionalProperties": False}}
-#: Longest chain of calls that wait for each other; a cycle shows by going beyond it.
-MAX_LEVELS = 64
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
 
@@ -124,6 +125,41 @@ def nodes(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     return arrow_map(plain, run, "conv_id long, turn long, part int, kind string, call_id string, name string, valid boolean, waits array<string>, body string")
 
 
+def call_levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, level) of the calls that wait, null if they never end to, and (node, cyclic) of those on a cycle.
+
+    edges: from, to: a call waits for the result of another one; from is null if that result has no call.
+    """
+    spark = edges.sparkSession
+    below = edges.where("from is not null")
+    # A result without a call is at level 0, so who waits for it is at 1; one with a call is a level above that.
+    told = edges.where("from is null").select(F.col("to").alias("node"), F.lit(1).alias("level"))
+    left = below
+    while not left.isEmpty():
+        # Peel the calls that wait for no other one left.
+        ready = left.select(F.col("from").alias("node")).distinct().join(left.select(F.col("to").alias("node")), "node", "left_anti")
+        ready = materialise(ready.join(told, "node", "left").groupBy("node").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level")), "chat-ready")
+        if ready.isEmpty():
+            break
+        step = left.join(ready.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node"), (F.col("level") + 2).alias("level"))
+        told = materialise(told.unionByName(step).groupBy("node").agg(F.max("level").alias("level")), "chat-told")
+        left = materialise(left.join(ready.select(F.col("node").alias("from")), "from", "left_anti"), "chat-left")
+    stuck = left.select(F.col("to").alias("node")).distinct().withColumn("stuck", F.lit(True))
+    levels = told.groupBy("node").agg(F.max("level").alias("level")).join(stuck, "node", "full").select("node", F.when(F.col("stuck").isNull(), F.col("level")).alias("level"))
+    if left.isEmpty():
+        return levels, spark.createDataFrame([], "node long, cyclic boolean")
+    # Calls that nothing left waits for only follow a cycle; between cycles, mutual reachability tells.
+    ring = left
+    while True:
+        inner = materialise(ring.join(ring.select(F.col("from").alias("to")).distinct(), "to", "left_semi").select("from", "to"), "chat-ring")
+        if inner.count() == ring.count():
+            break
+        ring = inner
+    loops = ring.where("from = to").select(F.col("from").alias("node"))
+    rings = strongly_connected(ring.select(F.col("from").alias("src"), F.col("to").alias("dst"))).select("node")
+    return levels, rings.unionByName(loops).distinct().withColumn("cyclic", F.lit(True))
+
+
 def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, part, kind, call_id, name, valid, link, level, body for each node."""
     found = materialise(nodes(messages, schemas).withColumn("node", F.monotonically_increasing_id()), "chat-nodes")
@@ -133,29 +169,19 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     calls = ends.where("kind = 'call'").select("conv_id", "call_id", F.col("node").alias("call_node"))
     results = ends.where("kind = 'result'").select("conv_id", "call_id", F.col("node").alias("result_node"))
     pairs = materialise(calls.join(results, ["conv_id", "call_id"], "full"), "chat-pairs")
-    linked = pairs.where("call_node is not null and result_node is not null")
     waits = light.where("kind = 'call' and size(waits) > 0").select("conv_id", F.col("node").alias("to"), F.explode("waits").alias("call_id"))
-    edges = linked.select(F.col("call_node").alias("from"), F.col("result_node").alias("to")).unionByName(waits.join(results, ["conv_id", "call_id"]).select(F.col("result_node").alias("from"), "to"))
-    edges = materialise(edges.distinct(), "chat-edges")
-    levels, wave, depth = None, edges.select(F.col("to").alias("node")).distinct(), 1
-    while True:
-        # Nodes with a way of `depth` edges to them.
-        wave = materialise(wave, "chat-wave")
-        if wave.isEmpty():
-            break
-        step = wave.withColumn("level", F.lit(depth))
-        levels = step if levels is None else levels.unionByName(step)
-        if depth > MAX_LEVELS:
-            break
-        wave, depth = edges.join(wave.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node")).distinct(), depth + 1
-    out = found.drop("waits")
-    if levels is None:
-        out = out.withColumn("level", F.lit(0))
-    else:
-        deepest = levels.groupBy("node").agg(F.max("level").alias("level"))
-        out = out.join(deepest, "node", "left").withColumn("level", F.when(F.coalesce("level", F.lit(0)) <= MAX_LEVELS, F.coalesce("level", F.lit(0))))
+    edges = materialise(waits.join(pairs.where("result_node is not null"), ["conv_id", "call_id"]).select(F.col("call_node").alias("from"), "to").distinct(), "chat-edges")
+    levels, cyclic = call_levels(edges)
+    # A result is on a cycle if its call is.
+    answers = pairs.where("call_node is not null and result_node is not null").select(F.col("result_node").alias("node"), "call_node")
+    levels = levels.unionByName(answers.join(levels.withColumnRenamed("node", "call_node"), "call_node").select("node", (F.col("level") + 1).alias("level")))
+    cyclic = cyclic.unionByName(answers.join(cyclic.withColumnRenamed("node", "call_node"), "call_node").select("node", "cyclic"))
+    # Without an entry: a result of a call that waits for nothing has level 1, any other node 0.
+    direct = answers.select("node", F.lit(1).alias("direct"))
+    out = found.drop("waits").join(levels.withColumn("waited", F.lit(True)), "node", "left").join(direct, "node", "left").join(cyclic, "node", "left")
+    out = out.withColumn("level", F.when(F.col("waited"), F.col("level")).otherwise(F.coalesce("direct", F.lit(0))))
     known = pairs.select(F.explode(F.array(F.struct(F.col("call_node").alias("node"), F.col("result_node").isNotNull().alias("met")), F.struct(F.col("result_node").alias("node"), F.col("call_node").isNotNull().alias("met")))).alias("x")).select("x.*").where("node is not null")
-    link = F.when(F.col("kind") == "message", "none").when(F.col("level").isNull(), "cycle").when(F.col("met").isNull(), F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "unnamed").otherwise("repeated"))
+    link = F.when(F.col("kind") == "message", "none").when(F.col("cyclic"), "cycle").when(F.col("met").isNull(), F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "unnamed").otherwise("repeated"))
     link = link.when(F.col("met"), "linked").when(F.col("kind") == "call", "no result").otherwise("no call")
     out = out.join(known, "node", "left").withColumn("link", link)
     return out.select("conv_id", "turn", "part", "kind", "call_id", "name", "valid", "link", "level", "body")
