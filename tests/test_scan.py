@@ -49,6 +49,13 @@ def test_scan_finds_exact_and_near_groups(spark, repo):
     assert paths == {"src/a.py", "other/b.py"}
 
 
+def test_files_without_a_profile_are_an_error(spark, repo):
+    (repo / "src/d.go").write_text("package d\n")
+    files = read_files(spark, str(repo), ignore=("build/",))
+    with pytest.raises(ValueError, match="1 go file"):
+        scan(files)
+
+
 @pytest.mark.parametrize("pattern, path, hit", [("*.pb.go", "a/b.pb.go", True), ("**/generated/**", "generated/x.py", True), ("**/generated/**", "a/generated/b/x.py", True), ("build/", "build/x", True), ("a/*.py", "a/b/c.py", False), ("a/*.py", "a/c.py", True)])
 def test_globs(pattern, path, hit):
     import re

@@ -35,8 +35,20 @@ def _subtrees(t: Tree) -> Iterator[Tree]:
         yield from _subtrees(c)
 
 
+#: Languages that extract() can read.
+PROFILES = ("python",)
+
+
+def without_profile(files: DataFrame) -> dict[str | None, int]:
+    """How many files there are of each language that extract() has no profile for."""
+    rows = files.where(~F.coalesce(F.col("lang").isin(*PROFILES), F.lit(False))).groupBy("lang").count().collect()
+    return {r["lang"]: r["count"] for r in rows}
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """The units of all files whose language has a profile (Python so far), numbered by a hash of place and name."""
+    """The units of all files, numbered by a hash of place and name; a language without a profile is an error."""
+    if missing := without_profile(files):
+        raise ValueError("no profile for " + ", ".join(f"{n} {lang} file(s)" for lang, n in sorted(missing.items(), key=str)) + "; leave them out of the table to scan the rest")
     names = [c.split()[0] for c in UNITS.split(", ")]
     types = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.int64()] + [pa.bool_()] * 3 + [pa.string()] * 2 + [pa.list_(pa.string()), pa.int32()]
 
@@ -50,7 +62,7 @@ def extract(files: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    own = files.where("lang = 'python'").select("path", "dir", "lang", "content")
+    own = files.select("path", "dir", "lang", "content")
     return own.mapInArrow(run, UNITS).withColumn("unit_id", F.xxhash64("path", "line0", "name"))
 
 
