@@ -145,6 +145,13 @@ def test_language_of_unseen_texts(spark):
     assert {r["lang_pred"] for r in language_id.identify(df, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from(spark):
+    rows = [(10 * k + j, f"w{k}", f"l{k}") for k in range(70) for j in range(10)] + [(9001, "x", "l0")] * 50
+    texts, langs = language_id.training_rows(frame(spark, rows), per_lang=4)
+    assert set(langs) == {f"l{k}" for k in range(70)} and len(texts) == len(langs)
+    assert max(map(langs.count, set(langs))) <= 4
+
+
 def test_quality_separates_and_takes_edge_cases(spark):
     rng = random.Random(1)
     docs = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) + (rng.choice("#*$%") * 3 if k % 2 else "") for _ in range(50))) for k in range(120)]

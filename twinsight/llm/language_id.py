@@ -211,12 +211,13 @@ class Labeller:
 
 
 def training_rows(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> tuple[list[bytes], list[str]]:
-    """At most per_lang texts of each language, chosen by a hash of the identifier; at most 64 languages."""
+    """At most per_lang texts of each language, chosen by a hash of the identifier."""
     light = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    top = [r[0] for r in light.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = light.where(F.col("lang").isin(top)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).drop("n")
-    rows = documents.join(F.broadcast(chosen.dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"], "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").limit(64 * per_lang).collect() if top else []
+    chosen = light.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).drop("n")
+    rows = documents.join(F.broadcast(chosen.dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    # Repeated identifiers can bring more rows than were chosen.
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").collect()
     return [(r["text"] or "").encode() for r in rows], [r["lang"] for r in rows]
 
 
