@@ -22,9 +22,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays, that of the smallest identifier, null last: five-word shingles, similarity 0.8 or more."""
+    # Identifiers can be null or repeated, so rows get a key; it is written, since a key made anew could differ.
+    keyed = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    groups = near_dedup.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    rows = materialise(keyed.select("row", "doc_id").join(groups, "row"), "near-groups")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    gone = rows.select("row").join(first, "row", "left_anti")
+    return keyed.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,3 +206,12 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(out["doc_id"]) == [k for k in range(20) if k != 3]
     assert list(corpus_pipeline.dedup_stage(spark, docs, "").columns) == corpus_pipeline.COLUMNS
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(30)) for x in "abcd")
+    rows = [(7, a), (7, a), (None, b), (None, b), (5, c), (6, c), (6, d), (None, a), (8, None), (8, None)]
+    out = corpus_pipeline.dedup_stage(spark, frame(spark, rows), "").collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out) == sorted([("7", a), ("None", b), ("5", c), ("6", d), ("8", "None"), ("8", "None")])
