@@ -6,18 +6,22 @@ of some chunk, so each document is filed under each chunk with each one of its p
 that distance meets in a bucket. Two documents that are similar at the threshold differ in DISTANCE places or fewer
 with a probability of over 0.9995. Candidates are confirmed on their full sets.
 
-Groups can be as large as the table, so pairs are not listed within them:
+Groups can be as large as the table, so pairs are never listed:
 
-1. Documents with equal sets become one class, whose representative is its smallest identifier.
-2. Each bucket links its members to two hubs only, found by aggregation. A representative's closest link is confirmed
-   first, then those that would still join different groups.
-3. Buckets whose members then lie in one group are done. In the others, pairs across groups are compared by signature
-   and the close ones confirmed. So any pair under the distance is either confirmed, refuted, or already connected.
+1. Documents with equal sets become one class; its first row stands for it.
+2. Each bucket links its members to one hub, found by aggregation. A member's hub with most common keys is confirmed,
+   which gives a forest, and the forest's trees are groups.
+3. Buckets whose members then lie in one group are done. Groups that meet in the others make up clusters. A cluster's
+   rows are cut into blocks, and pairs of blocks are compared by signature, then on full sets, within one task; rows of
+   the cluster's largest group meet only rows outside it. A task gives only links that join groups not joined before.
+
+So any pair under the distance is confirmed, refuted, or already connected. A cluster of m rows, s of them outside its
+largest group, costs s * m comparisons of signatures at most and gives fewer than s links from each task.
 
 Defined results: null or empty text, or text without a word, has an empty set and is linked with nothing; repeated
-rows and rows with equal identifiers are one vertex with the smallest identifier of their class; a null identifier is
-grouped like others if its set is not empty, and is never a component's identifier while another one exists; an empty
-table gives an empty table.
+rows and rows with equal identifiers are told apart by row, so each is in the component of its own text; a null
+identifier is grouped like others if its set is not empty, and is never a component's identifier while another one
+exists; other columns are left out, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Words, arrow_map, by_pieces, discard, materialise, mix64, rolling, utf8
@@ -94,7 +98,7 @@ def set_identity(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def profiles(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), c1 and c2 (identity of the set), sig; null sig for an empty set."""
+    """doc_id, text, n (set size), c1 and c2 (identity of the set), sig; null sig for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, "text"):
@@ -102,9 +106,9 @@ def profiles(df: DataFrame, width: int) -> DataFrame:
             n, (c1, c2) = np.diff(first), set_identity(value, first)
             rows = iter(signatures(value, first))
             sig = [next(rows).tobytes() if k else None for k in n.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c1), pa.array(c2), pa.array(sig, pa.binary())], names=["doc_id", "n", "c1", "c2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(c1), pa.array(c2), pa.array(sig, pa.binary())], names=["doc_id", "text", "n", "c1", "c2", "sig"])
 
-    return arrow_map(df.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, c1 long, c2 long, sig binary")
+    return arrow_map(df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, text string, n long, c1 long, c2 long, sig binary")
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +117,6 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate((start, [len(keys)])))
 
 
-def _bucket_rows(keys: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sort; rows of keys that occur more than once with their smallest v as hub, and one row for each distinct key."""
-    order = np.lexsort((v, keys))
-    keys, v = keys[order], v[order]
-    start, size = _runs(keys)
-    hub = np.repeat(v[start], size)
-    shared = np.repeat(size > 1, size)
-    return keys[shared], v[shared], hub[shared], keys[start], v[start]
-
-
 def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
 
@@ -131,238 +125,254 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
 _LOCAL = 8192
 
 
+def _file_locally(shared: bool):
+    """Bucket rows of blocks of signatures: those whose key occurs again in the block, or each key once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _LOCAL):
+                part = batch.slice(at, _LOCAL)
+                sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+                keys, v = bucket_keys(sigs).ravel(), np.repeat(part.column(0).to_numpy(), SYMBOLS)
+                order = np.lexsort((v, keys))
+                keys, v = keys[order], v[order]
+                start, size = _runs(keys)
+                again = np.repeat(size > 1, size)
+                if shared:
+                    yield _batch(["key", "v", "hub"], keys[again], v[again], np.repeat(v[start], size)[again])
+                else:
+                    yield _batch(["key", "v"], keys[start], v[start])
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and v those whose key occurs again, with its first v as hub; a key may span batches."""
+    single = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row, if its key has not been seen again so far
+    known: tuple[int, int] | None = None  # the last key and its hub, if rows of it went out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, v = (np.concatenate((s, batch.column(k).to_numpy())) for k, s in enumerate(single))
+        start, size = _runs(keys)
+        hub, again = np.repeat(v[start], size), np.repeat(size > 1, size)
+        if known is not None and keys[0] == known[0]:
+            hub[: size[0]], again[: size[0]] = known[1], True
+        last = bool(again[-1])
+        known = (int(keys[-1]), int(hub[-1])) if last else None
+        single = (keys[:0], v[:0]) if last else (keys[-1:], v[-1:])
+        yield _batch(["key", "v", "hub"], keys[again], v[again], hub[again])
+
+
 def buckets(reps: DataFrame) -> DataFrame:
     """key, v, hub: all rows of buckets with two members or more.
 
     A task first meets its own rows, so that a key goes on once from each block of rows, however many share it there.
     """
+    own = reps.select("v", "sig")
+    dealt = arrow_map(own, _file_locally(False), "key long, v long").repartition("key").sortWithinPartitions("key", "v")
+    across = arrow_map(dealt, _meet, "key long, v long, hub long")
+    return materialise(arrow_map(own, _file_locally(True), "key long, v long, hub long").unionByName(across), "buckets")
 
-    def local(shared: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, _LOCAL):
-                    part = batch.slice(at, _LOCAL)
-                    sigs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-                    keys, v, hub, one, first = _bucket_rows(bucket_keys(sigs).ravel(), np.repeat(part.column(0).to_numpy(), SYMBOLS))
-                    yield _batch(["key", "v", "hub"], keys, v, hub) if shared else _batch(["key", "v"], one, first)
-
-        return run
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if parts:
-            yield _batch(["key", "v", "hub"], *_bucket_rows(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))[:3])
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    return int((large[at] == small).sum())
 
-    own = reps.select("v", "sig")
-    across = arrow_map(arrow_map(own, local(False), "key long, v long").repartition("key"), meet, "key long, v long, hub long")
-    return materialise(arrow_map(own, local(True), "key long, v long, hub long").unionByName(across), "buckets")
 
+def links_between(side: np.ndarray, root: np.ndarray, sigs: np.ndarray | None, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Confirmed links (root, root) between rows of side 0 and rows of side 1, or among those of side 0 alone.
 
-def confirm(edges: DataFrame, documents: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """a, b, linked for each edge (a, b), from the full sets of both."""
-    edges = materialise(edges.select("a", "b"), "candidates")
-    if edges.isEmpty():
-        return edges.withColumn("linked", F.lit(False))
-    ends = edges.select(F.col("a").alias("v")).unionByName(edges.select(F.col("b").alias("v"))).distinct()
-    known = ends.join(reps.select("v", "id", "c1"), "v")
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text").join(known, "id").select("v", "c1", "text")
-    side = lambda k: texts.select(F.col("v").alias(k), F.col("c1").alias(f"{k}_c1"), F.col("text").alias(f"{k}_text"))
-    pairs = edges.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_c1", "b_c1", "a_text", "b_text")
+    Only links that join two groups not joined before come out: a spanning forest, however many pairs are similar.
+    With signatures only pairs within DISTANCE are confirmed. Common shingles of a row with all others are counted at
+    once from the other side's sorted shingles.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    label, found = root.copy(), []
+    index = None
+    for p, x in enumerate(left.tolist()):
+        others = right[p + 1 :] if alone else right
+        near = (label[others] != label[x]) & (100 * np.minimum(size[others], size[x]) >= SIMILAR_PERCENT * np.maximum(size[others], size[x]))
+        at = others[near]
+        if len(at) and sigs is not None:
+            at = at[(sigs[at] != sigs[x]).sum(1) <= DISTANCE]
+        if not len(at):
+            continue
+        if len(at) <= 4:
+            both = np.array([_common(sets[x], sets[y]) for y in at.tolist()])
+        else:
+            if index is None:
+                value, owner = np.concatenate([sets[y] for y in right.tolist()]), np.repeat(right, size[right])
+                order = np.argsort(value, kind="stable")
+                index = value[order], owner[order]
+            low, high = np.searchsorted(index[0], sets[x]), np.searchsorted(index[0], sets[x], side="right")
+            width = high - low
+            place = np.arange(width.sum()) + np.repeat(low - np.cumsum(width) + width, width)
+            both = np.bincount(index[1][place], minlength=len(sets))[at]
+        for y in at[100 * both >= SIMILAR_PERCENT * (size[x] + size[at] - both)].tolist():
+            if label[y] != label[x]:
+                found.append((int(root[x]), int(root[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def compare(dealt: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    """a, b: confirmed links between groups, from rows (c, i, j, side, v, root, sig) dealt to comparisons (c, i, j).
+
+    A comparison holds two blocks of bounded size; texts are joined to the few rows that are dealt, and sets are made
+    anew from them in the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_pieces(by_pieces(batches, "a_text"), "b_text"):
-            left, right = (shingle_sets(utf8(batch.column(k)), width) for k in (4, 5))
-            right_at = [set_identity(*x)[0] == batch.column(k).to_numpy() for x, k in ((left, 2), (right, 3))]
-            linked = []
-            for k in range(batch.num_rows):
-                x, y = (s[0][s[1][k] : s[1][k + 1]] for s in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(bool(right_at[0][k] and right_at[1][k]) and 100 * both >= SIMILAR_PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        task: tuple | None = None
+        held: list[list] = [[], [], [], []]  # side, root, sig, set
 
-    # Rows that repeat an identifier with another text fail the identity; the row that holds it decides.
-    return materialise(arrow_map(pairs, run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), "confirmed")
+        def close() -> list[tuple[int, int]]:
+            side, root, sig, sets = held
+            if len(side) < 2:
+                return []
+            sigs = None if sig[0] is None else np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SYMBOLS)
+            return links_between(np.array(side), np.array(root, np.int64), sigs, sets)
 
+        for batch in by_pieces(batches, "text"):
+            value, first = shingle_sets(utf8(batch.column(6)), width)
+            found = []
+            for k, (*own, side, root, sig) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(6)), strict=True)):
+                if own != task:
+                    found += close()
+                    task, held = own, [[], [], [], []]
+                for column, x in zip(held, (side, root, sig, value[first[k] : first[k + 1]]), strict=True):
+                    column.append(x)
+            yield _batch(["a", "b"], *np.array(found, np.int64).reshape(-1, 2).T.copy())
+        yield _batch(["a", "b"], *np.array(close(), np.int64).reshape(-1, 2).T.copy())
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, root for each vertex of the edges (a, b): its component's smallest vertex, by propagation and jumps."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        told = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("told"))
-        step = materialise(labels.join(told, "v").select("v", F.least("root", "told").alias("root"), F.col("root").alias("old")), "labels")
-        jumps = step.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        done = materialise(step.join(jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
-        discard(step)
-        if done.where("root <> old").isEmpty():
-            discard(both)
-            discard(done)
-            return labels
-        labels = done.drop("old")
+    rows = dealt.join(every.select("v", "text"), "v").select("c", "i", "j", "side", "root", "sig", "text")
+    return materialise(arrow_map(rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side"), run, "a long, b long").distinct(), "links")
 
 
-_NO_ID = (1 << 63) - 1
+#: Rows and shingles of a block at most, on average over its hash.
+_BLOCK_ROWS, _BLOCK_SHINGLES = 256, 1 << 20
 
 
-def merged(groups: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Groups (v, root) after also linking the confirmed edges."""
-    links = confirmed.where("linked").select("a", "b")
-    across = links.join(groups.withColumnsRenamed({"v": "a", "root": "ra"}), "a").join(groups.withColumnsRenamed({"v": "b", "root": "rb"}), "b")
-    across = materialise(across.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
-    if across.isEmpty():
-        return groups
-    moves = components(across).select(F.col("v").alias("root"), F.col("root").alias("to"))
-    return materialise(groups.join(moves, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "groups")
+def _parts(rows: Column, shingles: Column) -> Column:
+    """How many blocks so many rows and shingles are cut into."""
+    return F.greatest(F.ceil(rows / _BLOCK_ROWS), F.ceil(shingles / _BLOCK_SHINGLES), F.lit(1)).cast("long")
 
 
-def closest(edges: DataFrame) -> DataFrame:
-    """For each end of the edges (a, b, by) the one with the smallest by."""
-    ends = [edges.groupBy(x).agg(F.min(F.struct("by", y)).alias("best")).select(x, F.col(f"best.{y}").alias(y)) for x, y in ("ab", "ba")]
-    return ends[0].unionByName(ends[1]).distinct()
+def _block(parts: str) -> Column:
+    return F.pmod(F.xxhash64("v"), F.col(parts))
 
 
-#: Edges between the same two groups that one round tries, and rounds before all that are left are compared.
-_TRIES, _ROUNDS = 8, 2
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, whose hot keys Spark can split over tasks; one that turns into a broadcast late cannot be."""
+    return left.join(right.hint("merge"), on, how)
 
 
-def best_between(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of the edges (a, b, by) between each two groups _TRIES at most: the one with the smallest by of each share."""
-    across = edges.join(groups.withColumnsRenamed({"v": "a", "root": "ra"}), "a").join(groups.withColumnsRenamed({"v": "b", "root": "rb"}), "b").where("ra <> rb")
-    best = across.groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"), F.pmod(F.xxhash64("a", "b"), F.lit(_TRIES)).alias("share")).agg(F.min(F.struct("by", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b")
+def hub_links(shared: DataFrame, reps: DataFrame, every: DataFrame, width: int) -> DataFrame:
+    """a, b: for each representative b the hub a with which it shares most keys, if their sets confirm it; a < b."""
+    by = shared.where("v <> hub").groupBy("hub", "v").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= _HUB_KEYS)
+    best = by.groupBy("v").agg(F.max(F.struct("keys", (-F.col("hub")).alias("hub"))).alias("best")).select("v", (-F.col("best.hub")).alias("c"))
+    best = materialise(joined(best, reps.select("v", "n"), "v"), "hub-edges")
+    parts = best.groupBy("c").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    none = F.lit(None).cast("binary").alias("sig")
+    spokes = joined(best, parts, "c").select("c", F.lit(0).alias("i"), _block("parts").alias("j"), F.lit(1).alias("side"), "v", F.col("v").alias("root"), none)
+    hubs = parts.select("c", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), F.col("c").alias("v"), F.col("c").alias("root"), none)
+    out = compare(spokes.unionByName(hubs), every, width)
+    discard(best)
+    return out
+
 
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """v, root for rows (v, root) that name each vertex's parent, or itself: pointers jump until they stay."""
+    labels = materialise(parents, "groups")
+    while True:
+        above = labels.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        step = materialise(joined(labels, above, "root").select("v", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "groups")
+        discard(labels)
+        labels = step
+        if step.where("moved").isEmpty():
+            return labels.drop("moved")
 
-#: Rows of a bucket's largest group that meet the others in one place.
-_PART = 4096
 
+def components(edges: DataFrame) -> DataFrame:
+    """v, root for each vertex of the edges (a, b): its component's smallest vertex, by propagation and jumps."""
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        told = joined(both, labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("told"))
+        step = materialise(joined(labels, told, "v").select("v", F.least("root", "told").alias("root"), F.col("root").alias("old")), "labels")
+        jumps = step.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        done = materialise(joined(step, jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
+        discard(step)
+        discard(labels)
+        if done.where("root <> old").isEmpty():
+            discard(both)
+            return done.drop("old")
+        labels = done.drop("old")
+        labels._scratch_path = done._scratch_path
 
-def open_buckets(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """key, v, root: of the rows (key, v) those of buckets whose members lie in several groups.
 
-    Groups only ever merge, so a bucket that is closed stays closed and the next round can start from this result.
-    """
-    now = materialise(rows.select("key", "v").join(groups, "v"), "bucket-groups")
-    still = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    out = materialise(now.join(still, "key", "left_semi").select("key", "v", "root"), "open-buckets")
-    discard(now)
+def open_rows(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """v, root, low: rows of buckets whose members lie in several groups, low being the bucket's smallest root."""
+    at = materialise(joined(shared.select("key", "v"), groups, "v"), "bucket-groups")
+    ends = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "low")
+    out = materialise(joined(at, ends, "key").select("v", "root", "low").distinct(), "open-buckets")
+    discard(at)
     return out
 
 
-def close_pairs(rows: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
-    """a, b, by: pairs that share a bucket, lie in different groups and are within DISTANCE, with the distance.
+def deal(members: DataFrame) -> DataFrame:
+    """Comparisons (c, i, j) for rows (v, root, c, n, sig) of clusters c, so that rows of different groups meet.
 
-    Each pair comes out of one bucket only, the first that it shares. With best_only a bucket gives the closest pair of
-    each two groups. In a bucket only pairs with a row outside its largest group are compared; the largest group's rows
-    are cut into parts which the others are copied to, so a bucket of any size is spread over tasks.
+    Rows of a cluster's largest group need no comparison with each other. The others are cut into blocks i, the largest
+    group's rows into blocks j; each i meets each j, and each pair of blocks i (with j counted on from the last).
     """
-    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    heads = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"))
-    heads = heads.select("key", F.col("top.root").alias("head"), F.ceil(F.col("top.n") / _PART).cast("int").alias("parts"))
-    rows = rows.join(heads, "key").withColumn("in_head", F.col("root") == F.col("head"))
-    part = F.when(F.col("in_head"), F.array(F.pmod(F.xxhash64("v"), F.col("parts").cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
-    rows = rows.select("key", "v", "root", "in_head", F.explode(part).alias("part")).join(reps.select("v", "n", "sig"), "v")
-    dealt = rows.select("key", "part", "v", "root", "in_head", "n", "sig").repartition("key", "part").sortWithinPartitions("key", "part", "v")
-    return materialise(arrow_map(dealt, _compare_buckets(best_only), "a long, b long, by long"), "close-pairs")
-
-
-def _compare_buckets(best_only: bool):
-    ends = np.cumsum([0, *(len(c) for c in _CHUNKS)])
-    chunk_of = np.repeat(np.arange(CHUNKS), np.diff(ends))
-
-    def first_key(different: np.ndarray) -> np.ndarray:
-        """The first place whose key two signatures share, for rows of places that differ."""
-        errors = np.add.reduceat(different, ends[:-1], axis=1, dtype=np.int64)
-        chunk = (errors <= 1).argmax(1)
-        inside = different & (chunk_of[None, :] == chunk[:, None])
-        return np.where(errors[np.arange(len(errors)), chunk] == 1, inside.argmax(1), ends[chunk])
-
-    def bucket(key: int, part: int, v: np.ndarray, root: np.ndarray, head: np.ndarray, n: np.ndarray, sig: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int]]:
-        place = int(np.flatnonzero(keys[0] == key)[0])
-        found = []
-        for i in np.flatnonzero(~head):
-            # A row outside the largest group meets that group's rows, and in part 0 also others after it.
-            other = (root != root[i]) & (head | ((part == 0) & (np.arange(len(v)) > i)))
-            other &= 100 * np.minimum(n, n[i]) >= SIMILAR_PERCENT * np.maximum(n, n[i])
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            different = sig[at] != sig[i]
-            far = different.sum(1)
-            ok = np.flatnonzero(far <= DISTANCE)
-            ok = ok[first_key(different[ok]) == place] if len(ok) else ok
-            found += [(min(int(v[i]), int(v[j])), max(int(v[i]), int(v[j])), int(d), min(int(root[i]), int(root[j])), max(int(root[i]), int(root[j]))) for j, d in zip(at[ok], far[ok], strict=True)]
-        if best_only:
-            best: dict[tuple[int, int], tuple] = {}
-            for a, b, d, x, y in found:
-                best[x, y] = min(best.get((x, y), (1 << 30,)), (d, a, b))
-            return [(a, b, d) for d, a, b in best.values()]
-        return [f[:3] for f in found]
-
-    def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key, part, v, root, head, n, sig = columns
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
-        first_keys = bucket_keys(sig[start]).view(np.int64)
-        found = []
-        for k, (x, y) in enumerate(zip(start, [*start[1:], len(key)], strict=True)):
-            if y - x > 1:
-                found += bucket(int(key[x]), int(part[x]), v[x:y], root[x:y], head[x:y], n[x:y], sig[x:y], first_keys[k : k + 1])
-        a, b, d = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ([], [], [])))
-        return _batch(["a", "b", "by"], a, b, d)
+    sizes = members.groupBy("c", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    heads = sizes.groupBy("c").agg(F.max(F.struct("rows", "root", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    heads = heads.select("c", F.col("top.root").alias("head"), _parts(F.col("top.rows"), F.col("top.shingles")).alias("js"), _parts(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles")).alias("is"))
+    rows = joined(members, heads, "c").withColumn("in_head", F.col("root") == F.col("head"))
+    rows = rows.withColumn("block", F.when(F.col("in_head"), _block("js")).otherwise(_block("is")))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
+    of_head = F.transform(upto("is"), lambda i: place(i, F.col("block"), F.lit(1)))
+    with_head = F.transform(upto("js"), lambda j: place(F.col("block"), j, F.lit(0)))
+    with_rest = F.transform(upto("is"), lambda k: place(F.least("block", k), F.col("js") + F.greatest("block", k), F.when(F.col("block") <= k, 0).otherwise(1)))
+    return rows.select("c", F.explode(F.when(F.col("in_head"), of_head).otherwise(F.concat(with_head, with_rest))).alias("at"), "v", "root", "sig").select("c", "at.*", "v", "root", "sig")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]] + [np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, SYMBOLS)]
-            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            # The last bucket may go on in the next batch.
-            last = int(np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[-1]) + 1 if ((held[0] != held[0][-1]) | (held[1] != held[1][-1])).any() else 0
-            if last:
-                yield flush([c[:last] for c in held])
-                held = [c[last:] for c in held]
-        if held is not None:
-            yield flush(held)
 
-    return run
+_NO_ID = (1 << 63) - 1
+#: Keys that a hub and a member share at least before their sets are looked at; pairs with fewer are left to deal().
+_HUB_KEYS = 4
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    every = materialise(profiles(documents, width), "profiles")
-    classes = every.where("n > 0").groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = materialise(classes.withColumn("v", F.monotonically_increasing_id()), "representatives")
+    every = materialise(profiles(documents, width).withColumn("v", F.monotonically_increasing_id()), "profiles")
+    classes = every.where("n > 0").groupBy("c1", "c2").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("id"), F.min("v").alias("v"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = materialise(classes, "representatives")
     shared = buckets(reps)
-    groups = materialise(shared.select("v").distinct().withColumn("root", F.col("v")), "groups")
-    # The more keys two share, the closer they are; fewer than four shared keys are left to the last step.
-    hubs = shared.where("v <> hub").groupBy(F.col("hub").alias("a"), F.col("v").alias("b")).agg((-F.count(F.lit(1))).alias("by")).where("by <= -4")
-    hubs = materialise(hubs, "hub-edges")
-    tested = confirm(closest(hubs), documents, reps, width)
-    groups = merged(groups, tested)
-
-    def settle(edges: DataFrame) -> bool:
-        """Confirm edges that were not before and merge groups; whether any merged."""
-        nonlocal tested, groups
-        now = confirm(edges.join(tested, ["a", "b"], "left_anti"), documents, reps, width)
-        tested, before = tested.unionByName(now), groups
-        groups = merged(groups, now)
-        return groups is not before
-
-    # A few edges between each two groups and round: groups that belong together soon are one. Whatever the rounds
-    # leave open, the last step compares in full.
-    for _ in range(_ROUNDS):
-        if not settle(best_between(hubs.join(tested, ["a", "b"], "left_anti"), groups)):
-            break
-    rows = shared.select("key", "v").distinct()
-    for _ in range(_ROUNDS):
-        rows = open_buckets(rows, groups)
-        if not settle(best_between(close_pairs(rows, reps, best_only=True).join(tested, ["a", "b"], "left_anti"), groups)):
-            break
-    settle(close_pairs(open_buckets(rows, groups), reps, best_only=False))
-    lowest = groups.join(reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
-    named = reps.select("c1", "c2", "v", "id").join(groups, "v", "left").join(lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
+    linked = hub_links(shared, reps, every, width)
+    groups = forest_roots(shared.select("v").distinct().join(linked.select(F.col("b").alias("v"), "a"), "v", "left").select("v", F.coalesce("a", "v").alias("root")))
+    left = open_rows(shared, groups)
+    discard(shared)
+    if not left.isEmpty():
+        clusters = components(left.where("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
+        own = joined(left.select("v", "root").distinct(), clusters.select(F.col("v").alias("root"), F.col("root").alias("c")), "root")
+        members = materialise(joined(own, reps.select("v", "n", "sig"), "v"), "open-members")
+        links = compare(deal(members), every, width)
+        if not links.isEmpty():
+            moves = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
+            groups = materialise(joined(groups, moves, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "groups")
+    lowest = joined(groups, reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
+    named = joined(joined(reps.select("c1", "c2", "v", "id"), groups, "v", "left"), lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
     own = F.coalesce("doc_id", F.lit(_NO_ID))
-    out = every.drop("sig").join(named, ["c1", "c2"], "left").withColumn("low", F.when(F.col("n") > 0, F.col("low")).otherwise(own))
+    out = joined(every.select("doc_id", "n", "c1", "c2"), named, ["c1", "c2"], "left").withColumn("low", F.when(F.col("n") > 0, F.col("low")).otherwise(own))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif("low", F.lit(_NO_ID)).alias("component_id"), (own == F.col("low")).alias("kept"))
 
 
