@@ -270,7 +270,10 @@ def _block(parts: str) -> Column:
 
 
 def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """A sort-merge join, whose hot keys Spark can split over tasks; one that turns into a broadcast late cannot be."""
+    """A sort-merge join, whose hot keys Spark can split over tasks if both sides are tables and not aggregates.
+
+    One that turns into a broadcast after its sides were dealt cannot be split.
+    """
     return left.join(right.hint("merge"), on, how)
 
 
@@ -279,7 +282,7 @@ def hub_links(shared: DataFrame, reps: DataFrame, every: DataFrame, width: int)
     by = shared.where("v <> hub").groupBy("hub", "v").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= _HUB_KEYS)
     best = by.groupBy("v").agg(F.max(F.struct("keys", (-F.col("hub")).alias("hub"))).alias("best")).select("v", (-F.col("best.hub")).alias("c"))
     best = materialise(joined(best, reps.select("v", "n"), "v"), "hub-edges")
-    parts = best.groupBy("c").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    parts = materialise(best.groupBy("c").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts")), "hubs")
     none = F.lit(None).cast("binary").alias("sig")
     spokes = joined(best, parts, "c").select("c", F.lit(0).alias("i"), _block("parts").alias("j"), F.lit(1).alias("side"), "v", F.col("v").alias("root"), none)
     hubs = parts.select("c", F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), F.col("c").alias("v"), F.col("c").alias("root"), none)
@@ -301,27 +304,33 @@ def forest_roots(parents: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, root for each vertex of the edges (a, b): its component's smallest vertex, by propagation and jumps."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    """v, root for each vertex of the edges (a, b): its component's smallest vertex.
+
+    Each vertex goes to its smallest neighbour, the trees that this gives become vertices, and edges between different
+    ones go on to the next round; most edges are gone after the first.
+    """
+    left = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        told = joined(both, labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("told"))
-        step = materialise(joined(labels, told, "v").select("v", F.least("root", "told").alias("root"), F.col("root").alias("old")), "labels")
-        jumps = step.select(F.col("v").alias("root"), F.col("root").alias("above"))
-        done = materialise(joined(step, jumps, "root", "left").select("v", F.least("root", F.coalesce("above", "root")).alias("root"), "old"), "labels")
-        discard(step)
-        discard(labels)
-        if done.where("root <> old").isEmpty():
-            discard(both)
-            return done.drop("old")
-        labels = done.drop("old")
-        labels._scratch_path = done._scratch_path
+        ends = left.select(F.col("a").alias("v"), F.col("b").alias("o")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("o")))
+        trees = forest_roots(ends.groupBy("v").agg(F.min("o").alias("o")).select("v", F.least("v", "o").alias("root")))
+        if labels is None:
+            labels = trees
+        else:
+            moves = trees.select(F.col("v").alias("root"), F.col("root").alias("to"))
+            labels = materialise(joined(labels, moves, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "labels")
+        ends = joined(joined(left, trees.withColumnsRenamed({"v": "a", "root": "x"}), "a"), trees.withColumnsRenamed({"v": "b", "root": "y"}), "b")
+        now = materialise(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        discard(left)
+        left = now
+        if left.isEmpty():
+            return labels
 
 
 def open_rows(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """v, root, low: rows of buckets whose members lie in several groups, low being the bucket's smallest root."""
     at = materialise(joined(shared.select("key", "v"), groups, "v"), "bucket-groups")
-    ends = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "low")
+    ends = materialise(at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "low"), "open-keys")
     out = materialise(joined(at, ends, "key").select("v", "root", "low").distinct(), "open-buckets")
     discard(at)
     return out
@@ -336,7 +345,7 @@ def deal(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("c", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     heads = sizes.groupBy("c").agg(F.max(F.struct("rows", "root", "shingles")).alias("top"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
     heads = heads.select("c", F.col("top.root").alias("head"), _parts(F.col("top.rows"), F.col("top.shingles")).alias("js"), _parts(F.col("rows") - F.col("top.rows"), F.col("shingles") - F.col("top.shingles")).alias("is"))
-    rows = joined(members, heads, "c").withColumn("in_head", F.col("root") == F.col("head"))
+    rows = joined(members, materialise(heads, "heads"), "c").withColumn("in_head", F.col("root") == F.col("head"))
     rows = rows.withColumn("block", F.when(F.col("in_head"), _block("js")).otherwise(_block("is")))
     upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
     place = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
@@ -369,8 +378,10 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
         if not links.isEmpty():
             moves = components(links).select(F.col("v").alias("root"), F.col("root").alias("to"))
             groups = materialise(joined(groups, moves, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "groups")
-    lowest = joined(groups, reps.select("v", "id"), "v").groupBy("root").agg(F.min("id").alias("low"))
-    named = joined(joined(reps.select("c1", "c2", "v", "id"), groups, "v", "left"), lowest, "root", "left").select("c1", "c2", F.coalesce("low", "id").alias("low"))
+    # A representative that shares no bucket has no group: it is its own, lest all of these meet as nulls.
+    named = materialise(joined(reps.select("c1", "c2", "v", "id"), groups, "v", "left").withColumn("root", F.coalesce("root", "v")), "named")
+    lowest = materialise(named.groupBy("root").agg(F.min("id").alias("low")), "lowest")
+    named = joined(named, lowest, "root").select("c1", "c2", "low")
     own = F.coalesce("doc_id", F.lit(_NO_ID))
     out = joined(every.select("doc_id", "n", "c1", "c2"), named, ["c1", "c2"], "left").withColumn("low", F.when(F.col("n") > 0, F.col("low")).otherwise(own))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif("low", F.lit(_NO_ID)).alias("component_id"), (own == F.col("low")).alias("kept"))
