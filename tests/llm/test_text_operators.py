@@ -56,8 +56,8 @@ def test_token_shards_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     df = frame(spark, TEXTS, first=-3).unionByName(spark.createDataFrame([(None, "null key", None, None, None), (0, "again", None, None, None)], SCHEMA))
     folder = scratch(spark, "t")
-    shards = sstable.write_shards(df.repartition(3), folder, path, 0, shard_bytes=200)
-    rows = sorted(sstable.read_shards(spark, folder, shards).collect(), key=lambda r: r["start"])
+    sstable.write_shards(df.repartition(3), folder, path, 0, shard_bytes=200)
+    rows = sorted(sstable.read_shards(spark, folder).collect(), key=lambda r: r["start"])
     from tokenizers import Tokenizer
 
     t, at = Tokenizer.from_file(path), 0
@@ -66,19 +66,22 @@ def test_token_shards_round_trip(spark):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert sstable.lookup(folder, shards, 4) == [*t.encode("x" * 5000 if TEXTS[7] is None else TEXTS[7], add_special_tokens=False).ids, 0]
-    assert sstable.lookup(folder, shards, 10_000) is None
-    assert sstable.write_shards(df.limit(0), folder + "-none", path, 0) == []
-    assert sstable.read_shards(spark, folder + "-none", []).count() == 0
+    assert sstable.lookup(spark, folder, 4) == [*t.encode("x" * 5000 if TEXTS[7] is None else TEXTS[7], add_special_tokens=False).ids, 0]
+    assert sstable.lookup(spark, folder, 10_000) is None
+    assert sstable.lookup(spark, folder, None) == [*t.encode("null key", add_special_tokens=False).ids, 0]
+    assert sstable.write_shards(df.limit(0), folder + "-none", path, 0).count() == 0
+    assert sstable.read_shards(spark, folder + "-none").count() == 0
 
 
 def test_damaged_shard_is_noticed():
     import pyarrow as pa
 
-    w = sstable.Writer()
+    parts = []
+    w = sstable.Writer(parts.append)
     for k in range(100):
         w.add(sstable.key_of(k), np.array([k, 70_000 + k], "<u4").tobytes())
-    data = bytearray(b"".join(w.finish()))
+    w.finish()
+    data = bytearray(b"".join(parts))
     table = sstable.Table(pa.BufferReader(bytes(data)))
     assert [sstable.id_of(k) for k, _ in table.scan()] == list(range(100))
     assert np.frombuffer(table.get(sstable.key_of(57)), "<u4").tolist() == [57, 70_057]
@@ -150,6 +153,39 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, folder + "0").count() == 0
 
 
+def test_archives_are_the_same_in_every_session(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice([k, 10**12 + k, -k]), f"http://x/{k}", "h" * rng.randrange(400)) for k in range(300)] + [(None, "n", "z"), (7, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for partitions in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        folder = scratch(spark, "same")
+        warc.write_archives(pages.repartition(int(partitions)), folder, file_bytes=2000, range_bytes=30_000)
+        path = folder.removeprefix("file://")
+        made.append({r["file"]: open(f"{path}/{r['file']}", "rb").read() for r in warc.manifest(spark, folder).collect()})
+        assert warc.read_archives(spark, folder).count() == len(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert made[0] == made[1] and len(made[0]) > 10
+
+
+def test_records_are_read_in_chunks_of_any_size():
+    pages = [(k, "u", bytes([65 + k % 26]) * (k * 37 % 5000)) for k in range(60)]
+    data = b"".join(warc.record(k, u, p, False, None) for k, u, p in pages)
+    for step in (1, 7, 100_000):
+        at = 0
+
+        def read(_):
+            nonlocal at
+            at += step
+            return data[at - step : at]
+
+        assert [block.partition(b"\r\n\r\n")[2] for _, block in warc.records(read)] == [p for *_, p in pages]
+    with pytest.raises(ValueError):
+        parts = iter([data[:-5], b""])
+        list(warc.records(lambda _: next(parts)))
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = {}

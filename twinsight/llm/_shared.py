@@ -23,9 +23,11 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; without one, a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{LOCAL_FALLBACK}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -159,21 +161,32 @@ def file_system(uri: str):
     return found, path.rstrip("/")
 
 
+class NewFile:
+    """A file that is written under a temporary name as its bytes come and then moved: readers never see half of it."""
+
+    def __init__(self, uri: str, name: str):
+        self.system, folder = file_system(uri)
+        self.system.create_dir(folder, recursive=True)
+        self.name, self.temporary = f"{folder}/{name}", f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+        self.out = self.system.open_output_stream(self.temporary)
+
+    def write(self, part: bytes) -> None:
+        self.out.write(part)
+
+    def commit(self) -> None:
+        from pyarrow.fs import FileType
+
+        self.out.close()
+        if self.system.get_file_info(self.name).type != FileType.NotFound:
+            self.system.delete_file(self.name)  # of an attempt that was lost; some systems do not move onto a file
+        self.system.move(self.temporary, self.name)
+
+
 def put_file(uri: str, name: str, parts: list[bytes]) -> None:
-    """Write a file under a temporary name, then move it to its own: readers never see half of it."""
-    system, folder = file_system(uri)
-    system.create_dir(folder, recursive=True)
-    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
-    with system.open_output_stream(temporary) as out:
-        for part in parts:
-            out.write(part)
-    system.move(temporary, f"{folder}/{name}")
-
-
-def get_file(uri: str, name: str) -> bytes:
-    system, folder = file_system(uri)
-    with system.open_input_file(f"{folder}/{name}") as f:
-        return f.read()
+    new = NewFile(uri, name)
+    for part in parts:
+        new.write(part)
+    new.commit()
 
 
 def let(value, body):

@@ -10,8 +10,13 @@ A shard holds data blocks, then a sparse index, a Bloom filter and a footer:
     footer  places of index and Bloom filter, documents, ids and a magic number, of fixed size
 
 A key is the identifier as eight bytes in order, or empty for null, so null sorts first. Rows with the same identifier
-follow each other in the order of their texts. Shards are cut by ranges of the identifier; each file is written under
-a temporary name and moved, so a task that is run again replaces its own files only.
+follow each other in the order of their texts. Shards are cut by ranges of the identifier. A block goes to its file as
+soon as it is full; the file has a temporary name until it is whole, so a task that is run again replaces its own files
+only. The manifest is a table beside the shards: name, documents, ids, first and last identifier, ids before it.
+
+Defined results: null text counts as empty and has the end id alone; a null identifier stays null and comes first;
+repeated rows and identifiers are all kept; texts of any length are encoded whole; other columns are left out; an empty
+table gives a manifest without rows.
 """
 
 from __future__ import annotations
@@ -19,15 +24,15 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, file_system, put_file, scratch
+from ._shared import NewFile, arrow_map, by_pieces, file_system, materialise, scratch
 from .tokens import encoder
 
 MAGIC = b"TWSSTAB1"
@@ -71,13 +76,12 @@ def probes(key: bytes, bits: int) -> list[int]:
 
 
 class Writer:
-    """Takes documents in key order and makes one shard; ids come as little-endian unsigned 32-bit integers."""
+    """Takes documents in key order and writes one shard; ids come as little-endian unsigned 32-bit integers."""
 
-    def __init__(self):
+    def __init__(self, write: Callable[[bytes], object]):
         import zstandard
 
-        self.zstd = zstandard.ZstdCompressor(level=1)
-        self.parts: list[bytes] = []
+        self.zstd, self.write = zstandard.ZstdCompressor(level=1), write
         self.index: list[tuple[bytes, int, int, int]] = []
         self.keys: list[bytes] = []
         self.size = self.ids = 0
@@ -107,11 +111,11 @@ class Writer:
             raw = bytes(self.block) + struct.pack(f"<{len(self.restarts)}II", *self.restarts, len(self.restarts))
             packed = self.zstd.compress(raw)
             self.index.append((self.last, self.size, len(packed), zlib.crc32(packed)))
-            self.parts.append(packed)
+            self.write(packed)
             self.size += len(packed)
             self._new_block()
 
-    def finish(self) -> list[bytes]:
+    def finish(self) -> None:
         self._close_block()
         index = b"".join(varint(len(k)) + k + struct.pack("<QII", at, n, crc) for k, at, n, crc in self.index)
         bits = max(64, len(self.keys) * BITS_PER_KEY)
@@ -120,7 +124,8 @@ class Writer:
             for p in probes(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         bloom = struct.pack("<Q", bits) + bloom.tobytes()
-        return [*self.parts, index, bloom, FOOTER.pack(self.size, len(index), self.size + len(index), len(bloom), len(self.keys), self.ids, MAGIC)]
+        for part in (index, bloom, FOOTER.pack(self.size, len(index), self.size + len(index), len(bloom), len(self.keys), self.ids, MAGIC)):
+            self.write(part)
 
 
 class Table:
@@ -192,47 +197,61 @@ class Table:
         return None
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[tuple[str, int, int]]:
-    """Encode and write all rows below folder; returns each shard's name, documents and ids, in key order.
+_MANIFEST = "shard string, documents long, ids long, first long, last long"
+
+
+def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encode and write all rows below folder; returns the manifest: each shard's name, documents, ids, range and base.
 
-    The list has a row for each shard, whose size is bounded below by shard_bytes, so it stays small.
+    base counts the ids of all shards before. It is a running sum over the manifest, which has a row for each shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), []
-        encode, end, writer = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), Writer()
+        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        file: NewFile | None = None
+        writer: Writer | None = None
 
         def close() -> None:
-            nonlocal writer
-            if writer.keys:
-                name = f"shard-{part:06d}-{len(made):04d}.tws"
-                counts = len(writer.keys), writer.ids
-                put_file(folder, name, writer.finish())
-                made.append((name, *counts))
-                writer = Writer()
+            writer.finish()
+            file.commit()
+            made.append((file.name.rpartition("/")[2], len(writer.keys), writer.ids, id_of(writer.keys[0]), id_of(writer.keys[-1])))
 
-        for batch in batches:
+        for batch in by_pieces(batches, "t"):
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    file = NewFile(folder, f"shard-{part:06d}-{len(made):04d}.tws")
+                    writer = Writer(file.write)
                 writer.add(key_of(key), encode(body) + end)
                 if writer.size >= shard_bytes:
                     close()
-        close()
+                    writer = None
+        if writer is not None:
+            close()
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["shard", "documents", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), [pa.string()] + [pa.int64()] * 4, strict=True)], names=["shard", "documents", "ids", "first", "last"])
+
+    rows = df.select(F.col(doc_id).cast("long").alias("k"), F.col(text).cast("string").alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    made = materialise(arrow_map(rows, run, _MANIFEST), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    made.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
+    return manifest(df.sparkSession, folder)
 
-    rows = df.select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
-    return sorted(tuple(r) for r in arrow_map(rows, run, "shard string, documents long, ids long").collect())
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"{_MANIFEST}, base long").parquet(f"{folder}/manifest")
 
-def read_shards(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
+
+#: Rows that a reader gives at once.
+_ROWS = 4096
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Rows doc_id, start, n_tokens, ids_crc32 from the files; start counts the ids of all documents before."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    base, jobs = 0, []
-    for name, _, ids in shards:
-        jobs.append((name, base))
-        base += ids
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = file_system(folder)
@@ -243,16 +262,24 @@ def read_shards(spark: SparkSession, folder: str, shards: list[tuple[str, int, i
                     for key, ids in Table(f).scan():
                         rows.append((id_of(key), at, len(ids) // 4, zlib.crc32(ids)))
                         at += len(ids) // 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == _ROWS:
+                            yield batch_of(rows)
+                            rows = []
+                if rows:
+                    yield batch_of(rows)
 
-    return arrow_map(spark.createDataFrame(jobs, "shard string, base long").repartition(len(jobs)), run, schema)
+    shards = manifest(spark, folder).select("shard", "base")
+    tasks = max(1, min(shards.count(), 8 * spark.sparkContext.defaultParallelism))
+    return arrow_map(shards.repartition(tasks), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(folder: str, shards: list[tuple[str, int, int]], doc_id: int | None) -> list[int] | None:
-    """Token ids of one document, by Bloom filters, sparse indexes and one block."""
+def lookup(spark: SparkSession, folder: str, doc_id: int | None) -> list[int] | None:
+    """Token ids of one document: shards whose range holds its identifier, then Bloom filter, sparse index and a block."""
     system, path = file_system(folder)
-    for name, _, _ in shards:
-        with system.open_input_file(f"{path}/{name}") as f:
+    own = F.lit(doc_id).cast("long")
+    inside = F.col("first").isNull() if doc_id is None else (F.col("first").isNull() | (F.col("first") <= own)) & (F.col("last") >= own)
+    for row in manifest(spark, folder).where(inside).orderBy("shard").select("shard").toLocalIterator():
+        with system.open_input_file(f"{path}/{row['shard']}") as f:
             if (ids := Table(f).get(key_of(doc_id))) is not None:
                 return np.frombuffer(ids, "<u4").tolist()
     return None
@@ -264,4 +291,5 @@ def op6_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     folder = scratch(spark, "sstable")
-    return read_shards(spark, folder, write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer, end_id=0))
+    write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer, end_id=0)
+    return read_shards(spark, folder)
