@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, materialise
+from ._shared import arrow_map, by_pieces, materialise
 from .tokens import encoder
 
 CAPACITY = 4096
 CARRY = 64
 FAN_IN = 8
+GROUPS_PER_TASK = 4
 ROWS_PER_PARTITION = 1 << 15
 _BIN_BITS = 33
 
@@ -39,7 +40,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in by_pieces(batches, text):
             rows = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(body) + end
@@ -48,7 +49,7 @@ def pieces_of(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACI
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)], names=names)
 
-    return arrow_map(df.select(F.col(doc_id).cast("long"), F.col(text)), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(df.select(F.col(doc_id).cast("long"), F.col(text).cast("string").alias(text)), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: Iterable[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
@@ -87,7 +88,7 @@ def _pack_partition(capacity: int):
         order = np.argsort(-lengths, kind="stable")
         bins, offsets, fills = best_fit(lengths[order].tolist(), capacity)
         first = TaskContext.get().partitionId() << _BIN_BITS
-        table = table.take(pa.array(order)).drop_columns(["deal"])
+        table = table.take(pa.array(order))
         table = table.append_column("bin", pa.array(first + np.array(bins, np.int64))).append_column("offset", pa.array(np.array(offsets, np.int64)))
         table = table.append_column("fill", pa.array(np.array(fills, np.int64)[np.array(bins)]))
         carried = sorted(range(len(fills)), key=lambda b: (fills[b], b))[:CARRY]
@@ -124,14 +125,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_partition: int =
     """Add sequence_id and offset to rows with doc_id, piece and length; lengths lie from 1 to capacity."""
     pieces = materialise(pieces, "pieces")
     parts = max(1, -(-pieces.count() // rows_per_partition))
-    dealt = pieces.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(parts, "deal").sortWithinPartitions("deal", "doc_id", "piece")
+    # Rows of each task are dealt in turn by falling length, not by a key: partitions are even, hold the same mix of
+    # lengths, and repeated rows are no hot key.
+    turn = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id()
+    dealt = pieces.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").withColumn("turn", turn)
+    dealt = dealt.repartitionById(parts, F.pmod("turn", F.lit(parts)).cast("int")).drop("turn").sortWithinPartitions("doc_id", "piece", "ids_crc32")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     local = materialise(arrow_map(dealt, _pack_partition(capacity), f"{kinds}, bin long, offset long, fill long, up boolean"), "local-bins")
     carried = local.where("up").groupBy("bin").agg(F.first("fill").alias("fill")).select(
         "bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"), "fill", F.expr(f"shiftright(bin, {_BIN_BITS}) div {FAN_IN}").alias("group"), F.lit(True).alias("up"))
     groups, settled = max(1, -(-dealt.rdd.getNumPartitions() // FAN_IN)), None
     while True:
-        level = materialise(arrow_map(carried.repartition(min(groups, 200), "group"), _merge_groups(capacity), "bin long, root long, shift long, fill long, group long, up boolean"), "merged-bins")
+        level = materialise(arrow_map(carried.repartition(-(-groups // GROUPS_PER_TASK), "group"), _merge_groups(capacity), "bin long, root long, shift long, fill long, group long, up boolean"), "merged-bins")
         if groups == 1:
             settled = level if settled is None else settled.unionByName(level)
             break
