@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import arrow_map, utf8
+from ._shared import arrow_map, by_pieces, utf8
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -130,7 +130,7 @@ def find_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, text):
             rows = []
             for data in utf8(batch.column(1)):
                 spans = code_points(data, scan_bytes(data))
@@ -146,7 +146,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every finding in the text column replaced; null text stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, text):
             at = batch.schema.get_field_index(text)
             texts = [None if data is None else redacted(data, scan_bytes(data)) for data in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
