@@ -12,14 +12,17 @@ conversation has to fit in one task; order rows by (level, turn, part).
 
 Defined results: null conversation, turn, role or text are kept as plain messages of their own; a result without call,
 a call without result and a cycle are marked in `link`; nodes of a cycle have a null level, as have those that wait for
-one, which keep their `link`; of repeated identifiers
-in a conversation the first call and the first result by turn are linked, the others are marked `repeated`; text that
-isn't valid JSON is a plain message; an empty table gives an empty table.
+one, which keep their `link`; of repeated identifiers in a conversation the first call and the first result by turn are
+linked, the others are marked `repeated`; text that isn't valid JSON (NaN and numbers beyond a double are not), or is
+nested too deeply to be written again, counts as plain text, and so does an empty list of calls; content beside calls is a
+message node after them; lone surrogates are written as escapes; other columns are left out; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import strongly_connected
-from ._shared import arrow_map, materialise
+from ._shared import arrow_map, by_pieces, materialise
 
 REPLY = "reply"
 #: Schemas of known tools: JSON Schema with type, properties, required, enum, items and additionalProperties.
@@ -36,9 +39,25 @@ SCHEMAS = {REPLY: {"type": "object", "properties": {"prompt": {"type": "string",
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def printable(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces, and non-ASCII characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces, and non-ASCII characters as they are; ValueError for what JSON cannot hold."""
+    return printable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _refuse(constant: str) -> None:
+    raise ValueError(f"{constant} is not JSON")
+
+
+def parsed(text: str) -> object:
+    return json.loads(text, parse_constant=_refuse)
 
 
 def violations(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -78,30 +97,44 @@ def _loads(text: str | None, key: str) -> dict | None:
     if not text or key not in text:
         return None
     try:
-        value = json.loads(text)
+        value = parsed(text)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) and key in value else None
 
 
-def _nodes(turn: int | None, role: str | None, text: str | None, schemas: dict) -> list[tuple]:
-    """(part, kind, call_id, name, valid, waits, body) of one message."""
+def _tool_nodes(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
+    """The nodes of a message with calls or a result; none if it has neither."""
     calls = role == "assistant" and _loads(text, "tool_calls")
     if calls and isinstance(calls["tool_calls"], list) and all(isinstance(c, dict) for c in calls["tool_calls"]):
         out = []
         for part, c in enumerate(calls["tool_calls"]):
-            name, arguments = str(c.get("name")), c.get("arguments")
+            name, arguments = printable(str(c.get("name"))), c.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
+                    arguments = parsed(arguments)
                 except (ValueError, RecursionError):
                     pass
             wrong = violations(arguments, schemas[name]) if name in schemas else [f"no schema for {name}"]
-            out.append((part, "call", None if c.get("id") is None else str(c["id"]), name, not wrong, named_results(arguments), canonical({"arguments": arguments, "id": c.get("id"), "name": name, "role": role, "violations": wrong})))
+            waits = [printable(x) for x in named_results(arguments)]
+            out.append((part, "call", None if c.get("id") is None else printable(str(c["id"])), name, not wrong, waits, canonical({"arguments": arguments, "id": c.get("id"), "name": name, "role": role, "violations": wrong})))
+        if out and calls.get("content") is not None:
+            out.append((len(out), "message", None, None, None, [], canonical({"content": calls["content"], "role": role})))
         return out
     result = role == "tool" and _loads(text, "tool_call_id")
     if result:
-        return [(0, "result", str(result["tool_call_id"]), None, None, [], canonical({"content": result.get("content"), "role": role, "tool_call_id": result["tool_call_id"]}))]
+        return [(0, "result", printable(str(result["tool_call_id"])), None, None, [], canonical({"content": result.get("content"), "role": role, "tool_call_id": result["tool_call_id"]}))]
+    return []
+
+
+def _nodes(turn: int | None, role: str | None, text: str | None, schemas: dict) -> list[tuple]:
+    """(part, kind, call_id, name, valid, waits, body) of one message, one node at least."""
+    try:
+        found = _tool_nodes(role, text, schemas)
+    except (ValueError, RecursionError):
+        found = []
+    if found:
+        return found
     if role == "user" and turn is not None:
         wrong = violations({"prompt": text or ""}, schemas[REPLY]) if REPLY in schemas else []
         return [(0, "call", f"turn-{turn}", REPLY, not wrong, [], canonical({"content": text, "role": role}))]
@@ -116,12 +149,12 @@ def nodes(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, "text"):
             rows = [(conv, turn, *n) for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for n in _nodes(turn, role, text, schemas)]
             columns = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    plain = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    plain = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string").alias("text"))
     return arrow_map(plain, run, "conv_id long, turn long, part int, kind string, call_id string, name string, valid boolean, waits array<string>, body string")
 
 
