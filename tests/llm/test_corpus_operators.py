@@ -111,8 +111,23 @@ def test_leaks_are_found_and_only_they(spark):
     left = {r["doc_id"] for r in decontamination.without_leaks(df, bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in expected}
     assert decontamination.find_leaks(df, bench.limit(0)).count() == 0 and decontamination.find_leaks(df.limit(0), bench).count() == 0
-    sliced = [x for part in decontamination.slices(bench, slice_bytes=600) for x in part]
-    assert sorted(sliced) == sorted([*items, (78, "")])
+    sliced = list(decontamination.slices(bench, slice_bytes=3000))
+    assert len(sliced) > 2 and sorted(x for part, _ in sliced for x in part) == sorted([*items, (78, "")])
+    # Cuts change no score: each item's weights are those of one index over the whole benchmark.
+    weights = lambda own: {(i.terms[t], i.items[n].item_id): w for i in own for t, (ns, ws) in enumerate(zip(i.numbers, i.weights, strict=True)) for n, w in zip(ns, ws, strict=True)}
+    whole = weights(decontamination.indexes([*items, (78, "")]))
+    assert {k: round(w, 9) for part, corpus in sliced for k, w in weights(decontamination.indexes(part, corpus)).items()} == {k: round(w, 9) for k, w in whole.items()}
+
+
+def test_a_long_item_keeps_short_passages(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    short, long = (" ".join(word() for _ in range(n)) for n in (20, 3000))
+    own = decontamination.indexes([(1, short), (2, long)])
+    assert [i.passage for i in own] == [decontamination.MIN_PASSAGE, 6000]
+    texts = [f"{word()} {short} {word()}", f"{long} {short}", " ".join(word() for _ in range(5000)), short[:50]]
+    found = decontamination.find_leaks(frame(spark, [(k, t) for k, t in enumerate([*texts, texts[0]])]), spark.createDataFrame([(1, short), (2, long)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(0, 1), (1, 1), (1, 2), (4, 1)]
 
 
 def test_gradients_equal_differences():
@@ -183,6 +198,18 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat_format.link_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_odd_messages_are_kept(spark):
+    deep = '{"tool_calls":[{"id":"d","name":"f","arguments":' + "[" * 1500 + "]" * 1500 + "}]}"
+    texts = ['{"tool_calls":[{"id":"\\ud800","name":"f","arguments":{"x":{"$result":"\\ud800"}}}]}', deep, '{"tool_calls":[]}', '{"tool_calls":[{"id":"n","name":"f","arguments":[NaN]}]}', '{"tool_calls":[{"id":"i","name":"f","arguments":[1e999]}]}', '{"content":"hi","tool_calls":[{"id":"c","name":"f","arguments":{}}]}', "x" * 300_000]
+    df = spark.createDataFrame([(1, 2 * k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    clash = df.selectExpr("*", "'mine' AS kind", "'mine' AS level", "1 AS node")
+    out = {(r["turn"], r["part"]): r for r in chat_format.link_calls(clash).collect()}
+    assert out[0, 0]["kind"] == "call" and out[0, 0]["call_id"] == "\\ud800" and "\\ud800" in out[0, 0]["body"]
+    assert [out[t, 0]["kind"] for t in (2, 4, 6, 8, 10, 12)] == ["result", "result", "result", "result", "call", "result"]
+    assert out[10, 1]["kind"] == "message" and out[10, 1]["body"] == '{"content":"hi","role":"assistant"}' and len(out) == 8
+    assert all(out[t, 0]["body"] == chat_format.canonical({"content": texts[t // 2], "role": "assistant"}) for t in (2, 4, 6, 8, 12))
+
+
 def test_long_chains_and_what_follows_a_cycle(spark):
     call = lambda i, *waits: chat_format.canonical({"tool_calls": [{"id": i, "name": "f", "arguments": [{"$result": w} for w in waits]}]})
     result = lambda i: chat_format.canonical({"tool_call_id": i, "content": "ok"})

@@ -1,14 +1,16 @@
 """Benchmark decontamination: a BM25 index of test items, searched with every training passage by block-max WAND.
 
-Impacts are divided by the item's score for its own text, so 1 means that a passage holds all of an item. Every
-document is cut into passages that overlap by half and are at least twice as long as the longest item, so each whole
-occurrence of an item lies in one passage. A passage retrieves all items that score THRESHOLD or more. Retrieved items
+Impacts are divided by the item's score for its own text, so 1 means that a passage holds all of an item. Items of like
+length share an index. For each, every document is cut into passages that overlap by half and are at least twice as long
+as its longest item, so each whole occurrence of an item lies in one passage, and a long item does not make passages
+long for short ones. A passage retrieves all items that score THRESHOLD or more. Retrieved items
 are then verified on the passage: five-word shingles of the whole item, and words of its question and of its answer
 (the last sentence, with at least ANSWER_WORDS words), must occur there.
 
 Before the search, a passage's bound for each of BLOCKS ranges of items is added up for a whole batch with numpy; the
 search then visits only ranges whose bound reaches the threshold. The index goes to executors in slices of at most
-SLICE_BYTES of item text; a larger benchmark takes one pass for each slice, each with its own statistics.
+SLICE_BYTES of item text; a larger benchmark takes one pass for each slice. Document frequencies and the average length
+are those of the whole benchmark in every slice and index, so its size and cuts do not change a score.
 
 Defined results: null or empty texts and items match nothing; an item without a word matches nothing; items with null
 identifiers are left out; repeated rows give repeated results; an empty table on either side gives an empty table.
@@ -20,13 +22,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Words, arrow_map, by_pieces, rolling
+from ._shared import Words, arrow_map, by_pieces, materialise, rolling
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -34,7 +37,8 @@ SHINGLE, MIN_OVERLAP = 5, 0.8
 ANSWER_WORDS = 5
 BLOCKS = 32
 SLICE_BYTES = 16 << 20
-MIN_PASSAGE = 64
+#: Passages have so many words at least; items of up to MIN_PASSAGE * LENGTH_STEP**k words share an index.
+MIN_PASSAGE, LENGTH_STEP = 64, 4
 
 BLANKS = np.ones(256, bool)
 BLANKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,19 +71,38 @@ class Item:
         return share(self.shingles, rolling(passage, self.width)), share(self.question, passage), share(self.answer, passage)
 
 
+@dataclass
+class Corpus:
+    """Statistics of a whole benchmark: items with a word, their mean length, and how many hold each term (sorted)."""
+
+    items: int
+    average: float
+    terms: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Corpus:
+        """From all texts at once."""
+        words = [w for w in map(word_hashes, texts) if len(w)]
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+        return cls(len(words), float(np.mean([len(w) for w in words])) if words else 1.0, terms, df)
+
+
 class Index:
     """Inverted index with block maxima. Items are numbered in order; a block is a range of numbers."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
+        corpus = corpus or Corpus.of([t for _, t in items])
         self.items = [i for i in (Item(k, t) for k, t in sorted(items)) if len(i.words)]
         n = len(self.items)
         self.passage = max(MIN_PASSAGE, 2 * max((len(i.words) for i in self.items), default=0))
         self.block_size = max(1, -(-n // BLOCKS))
         self.blocks = -(-n // self.block_size) if n else 0
         counts = [np.unique(i.words, return_counts=True) for i in self.items]
-        self.terms, df = np.unique(np.concatenate([c[0] for c in counts]) if counts else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        average = np.mean([len(i.words) for i in self.items]) if n else 1
+        self.terms = np.unique(np.concatenate([c[0] for c in counts])) if counts else np.zeros(0, np.uint64)
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)] if n else np.zeros(0)
+        idf = np.log1p((corpus.items - df + 0.5) / (df + 0.5))
+        average = corpus.average
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.maxima = np.zeros((len(self.terms) + 1, self.blocks), np.float32)
         for number, (terms, tf) in enumerate(counts):
@@ -159,6 +182,22 @@ class Index:
         return cursor
 
 
+def indexes(items: list[tuple[int, str]], corpus: Corpus | None = None) -> list[Index]:
+    """An index for each class of lengths, by factors of LENGTH_STEP."""
+    corpus = corpus or Corpus.of([t for _, t in items])
+    classes: dict[int, list[tuple[int, str]]] = {}
+    for k, text in items:
+        n, step = len(word_hashes(text)), 0
+        while n > MIN_PASSAGE * LENGTH_STEP**step:
+            step += 1
+        classes.setdefault(step, []).append((k, text))
+    return [Index(classes[step], corpus) for step in sorted(classes)]
+
+
+def search_all(own: list[Index], texts: list[bytes]) -> list[tuple[int, int, float, float, float, float]]:
+    return sorted(x for index in own for x in search_texts(index, texts))
+
+
 def search_texts(index: Index, texts: list[bytes], threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float, float]]:
     """(text number, item, score, overlaps) of verified matches, the best passage for each text and item."""
     if not index.items:
@@ -196,14 +235,32 @@ def search_texts(index: Index, texts: list[bytes], threshold: float = THRESHOLD)
     return [(k, item, *v) for (k, item), v in sorted(best.items())]
 
 
-def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in slices of bounded size, each read on its own."""
+def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[list[tuple[int, str]], Corpus]]:
+    """The items in slices of bounded size, each read on its own, with the whole benchmark's statistics of its terms."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-2 * total // slice_bytes) if total > slice_bytes else 1
+    if total <= slice_bytes:
+        own = [tuple(r) for r in items.collect()]
+        yield own, Corpus.of([t for _, t in own])
+        return
+    n = -(-2 * total // slice_bytes)
+    items = items.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_pieces(batches, "text"):
+            words = [word_hashes(t) for t in batch.column(0).to_pylist()]
+            sets = [np.unique(w) for w in words]
+            sizes = [len(x) for x in sets]
+            every = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(batch.column(1).to_numpy(), sizes)), pa.array(np.repeat([len(w) for w in words], sizes)), pa.array(np.concatenate([np.zeros(0, bool), *(np.arange(k) == 0 for k in sizes)]))], names=["term", "slice", "length", "first"])
+
+    terms = materialise(arrow_map(items.select("text", "slice"), run, "term long, slice int, length long, first boolean"), "benchmark-terms")
+    count, average = terms.where("first").agg(F.count(F.lit(1)), F.avg("length")).first()
+    df = materialise(terms.select("term", "slice").distinct().join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term"), "benchmark-frequencies")
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+        known = sorted((r["term"] & 0xFFFFFFFFFFFFFFFF, r["df"]) for r in df.where(F.col("slice") == k).collect())
+        corpus = Corpus(count, average or 1.0, np.array([t for t, _ in known], np.uint64), np.array([d for _, d in known], np.int64))
+        yield [tuple(r) for r in items.where(F.col("slice") == k).select("item_id", "text").collect()], corpus
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -212,10 +269,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     rows = documents.select("doc_id", "text")
 
-    def searcher(index: Index):
+    def searcher(own: list[Index]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_pieces(batches, "text", 2 << 20):
-                found = search_texts(index, [lowered(t) for t in batch.column(1).to_pylist()])
+                found = search_all(own, [lowered(t) for t in batch.column(1).to_pylist()])
                 if found:
                     columns = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
@@ -223,8 +280,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     out = None
-    for items in slices(benchmark):
-        part = arrow_map(rows, searcher(Index(items)), schema)
+    for items, corpus in slices(benchmark):
+        part = arrow_map(rows, searcher(indexes(items, corpus)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -232,15 +289,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, in one pass and without a shuffle; null identifiers make no difference."""
     out = documents
-    for items in slices(benchmark):
-        out = arrow_map(out, _cleaner(Index(items)), documents.schema)
+    for items, corpus in slices(benchmark):
+        out = arrow_map(out, _cleaner(indexes(items, corpus)), documents.schema)
     return out
 
 
-def _cleaner(index: Index):
+def _cleaner(own: list[Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, "text", 2 << 20):
-            hit = {k for k, *_ in search_texts(index, [lowered(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])}
+            hit = {k for k, *_ in search_all(own, [lowered(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])}
             yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
     return run
