@@ -1,7 +1,8 @@
 """A training corpus from raw documents: line cleaning, near-dedup, decontamination, secret redaction, packing.
 
 Each stage works on all rows that the one before kept and returns the columns of documents, the last one the packing.
-Defined results for nulls, empty texts, ties, repeated rows and empty tables are those of the operators.
+Defined results for nulls, empty texts, ties, repeated rows and empty tables are those of the operators. Stages work on
+rows: identifiers may be null or repeated. Other columns of the input are left out; those of documents must exist.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that the rules reject go. n_chars counts the text that is left."""
-    kept = quality_rules.clean_lines(docs).where("kept")
+    """Failing lines go; documents that the rules reject go, null and empty texts among them. n_chars counts what is left."""
+    # The row number is there for the filter only: one that needs it stays above the verdict, else its conditions would
+    # be pushed below and every rule would run twice.
+    kept = quality_rules.clean_lines(docs).withColumn("__row", F.monotonically_increasing_id()).where("kept and __row >= 0")
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.char_length("clean_text").cast("long").alias("n_chars"))
 
 
@@ -33,7 +36,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none; of repeated rows all stay or all go."""
     return decontamination.without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
