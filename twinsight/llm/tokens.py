@@ -1,9 +1,9 @@
 """Token ids of many texts with a file of the tokenizers library.
 
-Byte-pair encoding works on one pre-token at a time, so a text's ids are the ids of its pre-tokens in a row, and no
-pre-token goes on over white space, but for the space before it. Texts whose characters all lie below U+0250, also once
-they are normalised, are split here at white space; each distinct chunk is split into pre-tokens and goes through the
-library's model once. Any other text, or one with a special token's string in it, goes through the library as a whole.
+Byte-pair encoding works on one pre-token at a time, so a text's ids are the ids of its pre-tokens in a row. Texts
+whose characters all lie below U+0250, also once they are normalised, are split here, and a pre-token that was not seen
+lately goes once through the library's model; any other text, or one with a special token's string in it, goes through
+the library as a whole.
 """
 
 from __future__ import annotations
@@ -15,17 +15,16 @@ import unicodedata
 
 #: Below this code point, letters and numbers are the same in every Unicode version in use.
 PLAIN_BELOW = 0x250
-#: Bytes of chunks and their ids that one Python worker keeps, with EACH for an entry's objects; then it starts anew.
-KEEP_BYTES, EACH = 32 << 20, 240
-#: Longer chunks are not kept.
+#: Bytes of pre-tokens and their ids that one Python worker keeps, with EACH for an entry's objects. When they are full
+#: they become the former ones, which are looked up too, and the ones before those go.
+KEEP_BYTES, EACH = 32 << 20, 200
+#: Longer pre-tokens are not kept.
 LONGEST = 64
 
 _CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
 _LETTERS = "".join(re.escape(chr(i)) for i in range(PLAIN_BELOW) if unicodedata.category(chr(i))[0] == "L")
 _NUMBERS = "".join(re.escape(chr(i)) for i in range(PLAIN_BELOW) if unicodedata.category(chr(i))[0] == "N")
 _LEADING_SPACE = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
-#: White space as the first pattern deals it out: the last space of a run goes to what follows.
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _SPACELESS = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 #: Not plain: code points from PLAIN_BELOW on, and separators that engines disagree about.
 _ODD = re.compile(r"[\x1c-\x1f\x85ɐ-\U0010ffff]")
@@ -43,14 +42,14 @@ def _folded(text: str) -> str:
 
 
 class Encoder(dict):
-    """Maps a chunk to its ids as little-endian unsigned 32-bit integers; encode() does whole texts."""
+    """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; encode() does whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.held = 0
+        self.held, self.former = 0, {}
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -58,24 +57,25 @@ class Encoder(dict):
         kinds = [s and s["type"] for s in steps]
         normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         if kinds == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and not spec["normalizer"]:
-            self.normal, self.split, self.pieces = str, _CHUNKS.findall, _LEADING_SPACE.findall
+            self.normal, self.split = str, _LEADING_SPACE.findall
         elif kinds == ["Split", "ByteLevel"] and not steps[1]["use_regex"] and normalizers == ["NFC", "Replace", "Lowercase"]:
-            self.normal, self.split, self.pieces = _folded, str.split, _SPACELESS.findall
+            self.normal, self.split = _folded, _SPACELESS.findall
         else:
             self.normal, self.split = str, None
         self.letters = _byte_letters()
-
-    def __missing__(self, chunk: str) -> bytes:
-        model, letters = self.tokenizer.model, self.letters
-        found = [t.id.to_bytes(4, "little") for piece in self.pieces(chunk) for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
-        ids = b"".join(found)
-        if len(chunk) <= LONGEST:
-            size = len(chunk) + len(ids) + EACH
-            if self.held + size > KEEP_BYTES:
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.former.get(piece)
+        if ids is None:
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if len(piece) <= LONGEST:
+            self.held += len(piece) + len(ids) + EACH
+            if self.held > KEEP_BYTES:
+                self.former = dict(self)
                 self.clear()
                 self.held = 0
-            self.held += size
-            self[chunk] = ids
+            self[piece] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
