@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from ..config import DEFAULT as D
-from ..operators.regions import LOOKAHEAD
 
 _TOKS = "list_transform(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('0', '1') THEN x ELSE regexp_replace(lower(x), '[0-9]+', 'INT', 'g') END)"
 _GROUP = "lang || '-' || fp"
@@ -81,7 +80,7 @@ CTES: dict[str, str] = {
     "marked_parts": _closure("marked"),
     "kgrams": _grams("reps", D.min_seq_tokens),
     "shared_k": "SELECT * FROM kgrams WHERE (lang, g) IN (SELECT (lang, g) FROM kgrams GROUP BY lang, g HAVING min(unit_id) < max(unit_id))",
-    "suffixes": f"SELECT s.lang, s.g, s.unit_id, s.pos, r.toks[s.pos + {D.min_seq_tokens} + 1 : s.pos + {D.min_seq_tokens} + {LOOKAHEAD}] AS after, CASE WHEN s.pos > 0 THEN r.toks[s.pos] END AS before FROM shared_k s JOIN reps r USING (unit_id)",
+    "suffixes": f"SELECT s.lang, s.g, s.unit_id, s.pos, r.toks[s.pos + {D.min_seq_tokens} + 1 :] AS after, CASE WHEN s.pos > 0 THEN r.toks[s.pos] END AS before FROM shared_k s JOIN reps r USING (unit_id)",
     "neighbours": "SELECT *, lag(unit_id) OVER w AS u0, lag(pos) OVER w AS p0, lag(before) OVER w AS b0 FROM suffixes WINDOW w AS (PARTITION BY lang, g ORDER BY after, unit_id, pos)",
     "run_pairs": "SELECT lang, least(u0, unit_id) AS unit_a, greatest(u0, unit_id) AS unit_b, CASE WHEN u0 < unit_id THEN p0 ELSE pos END AS pos_a, CASE WHEN u0 < unit_id THEN pos ELSE p0 END AS pos_b FROM neighbours WHERE u0 IS NOT NULL AND u0 <> unit_id AND (before IS NULL OR b0 IS NULL OR before <> b0)",
     "regions": "SELECT DISTINCT lang, unit_a, unit_b, pos_a, pos_b, coalesce(list_position(same, false) - 1, len(same))::BIGINT AS length FROM (SELECT r.*, list_transform(generate_series(1, greatest(len(x.toks) - pos_a, len(y.toks) - pos_b)), lambda i: coalesce(x.toks[pos_a + i] = y.toks[pos_b + i], false)) AS same FROM run_pairs r JOIN reps x ON x.unit_id = unit_a JOIN reps y ON y.unit_id = unit_b)",

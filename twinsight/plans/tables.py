@@ -59,8 +59,10 @@ def gram_hashes(toks: Column, k: int) -> Column:
 
 
 def grams(units_: DataFrame, k: int) -> DataFrame:
-    """unit_id, lang, pos, g: every run of k tokens, as a 64-bit hash, with its 0-based place."""
-    return units_.select("unit_id", "lang", F.posexplode(gram_hashes(F.col("toks"), k)).alias("pos", "g"))
+    """unit_id, lang, pos, g, before: every run of k tokens, as a 64-bit hash, its 0-based place, and the hash of the token
+    before it, null at the start."""
+    found = units_.select("unit_id", "lang", "toks", F.posexplode(gram_hashes(F.col("toks"), k)).alias("pos", "g"))
+    return found.select("unit_id", "lang", "pos", "g", F.when(F.col("pos") > 0, F.xxhash64(F.get("toks", F.col("pos") - 1))).alias("before"))
 
 
 def bags(units_: DataFrame, k: int) -> DataFrame:
