@@ -156,6 +156,12 @@ def test_diffs_and_touch(spark):
     assert [r["fingerprint"] for r in drift.inconsistent_updates(members, hunks).collect()] == ["g"]
 
 
+def test_diff_lines_are_no_headers(spark):
+    diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n+++ /dev/null\n+--- b\ndiff --git y y\n--- y\t2020-01-01\n+++ y\t2020-01-02\n@@ -3,0 +4 @@\n+z\ndiff --git a/w b/w\n--- a/w\n+++ /dev/null\n@@ -1 +0,0 @@\n-q\n"
+    rows = drift.parse_diff(spark.createDataFrame([(diff,)], "diff string")).collect()
+    assert {(r["file"], r["l0"], r["l1"]) for r in rows} == {("w", None, None), ("x", 1, 2), ("y", 4, 4)}
+
+
 def test_member_mapping_prefers_names(spark):
     base = spark.createDataFrame([(1, "f", "a", 1, 5), (2, "f", "gone", 10, 12), (3, "g", "x", 1, 2)], "member_id long, file string, name string, line0 long, line1 long")
     now = spark.createDataFrame([("f", "a", 7, 40, 50), ("f", "b", 5, 3, 11), ("f", "a", 9, 1, 5)], "file string, name string, unit_id long, line0 long, line1 long")

@@ -3,16 +3,16 @@ import pytest
 from twinsight.operators.scan import scan
 from twinsight.sources.files import glob_regex, read_files
 
-BASE = """def total(rows, limit):
-    out = 0
-    for row in rows:
-        weight = row.size * row.factor
-        if row.size > limit:
-            out = out + weight * 2
+BASE = """def route(parcels, depot):
+    lanes = {}
+    for parcel in parcels:
+        zone = parcel.zone % 10 + depot
+        if zone in lanes:
+            lanes[zone].append(parcel.label)
         else:
-            log(row, limit)
-        tally(row, weight)
-    return out
+            lanes[zone] = [parcel.label]
+            announce(zone, parcel.due)
+    return lanes
 """
 
 
@@ -20,8 +20,8 @@ BASE = """def total(rows, limit):
 def repo(tmp_path):
     put = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
     put("src/a.py", BASE)
-    put("other/b.py", BASE.replace("row", "item").replace("* 2", "* 5"))
-    put("src/c.py", BASE.replace("total", "near").replace("row.size * row.factor", "row.size * row.factor + row.bonus / 2"))
+    put("other/b.py", BASE.replace("parcel", "box").replace("% 10", "% 7"))
+    put("src/c.py", BASE.replace("route", "near").replace("parcel.zone % 10 + depot", "parcel.zone % 10 + depot - parcel.floor"))
     put("src/gen.py", "# @generated\n" + BASE)
     put("src/generated/g.py", BASE)
     put(".hidden/h.py", BASE)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import copy
+import hashlib
 import re
 import textwrap
 from dataclasses import dataclass
@@ -171,7 +172,7 @@ def literal(value: object) -> str:
     if shown in KEEP:
         return f"K{shown}"
     kind = {bool: "Bool", int: "Int", float: "Float", complex: "Float", str: "Str", bytes: "Str"}.get(type(value))
-    return f"B{kind}" if kind and not isinstance(value, bool) else f"E{shown}" if value is None or value is Ellipsis else "BBool"
+    return f"E{shown}" if isinstance(value, bool) or value is None or value is Ellipsis else f"B{kind}"
 
 
 def masked(t: Tree, literals: bool = False) -> Tree:
@@ -220,8 +221,18 @@ class Canonical:
     def node(self, n: ast.AST) -> Tree:
         kind = type(n).__name__
         if isinstance(n, _FUNCTIONS):
-            own = [self.node(a) for a in ast.walk(n.args) if isinstance(a, ast.arg)]
-            return Tree("FunctionDef", None, (Tree("args", None, tuple(own)), self.block("body", n.body)))
+            return Tree("FunctionDef", None, (self.arguments(n.args), self.block("body", n.body)))
+        if isinstance(n, ast.arguments):
+            return self.arguments(n)
+        if isinstance(n, ast.keyword):
+            return Tree(kind, f"E{n.arg or '**'}", (self.node(n.value),))
+        if isinstance(n, ast.Slice):
+            given = [(f, x) for f, x in ast.iter_fields(n) if x is not None]
+            return Tree(kind, "E" + " ".join(f for f, _ in given), tuple(self.node(x) for _, x in given))
+        if isinstance(n, (ast.Global, ast.Nonlocal)):
+            return Tree(kind, "E" + " ".join(n.names))
+        if isinstance(n, ast.alias):
+            return Tree(kind, f"E{n.name} {n.asname or ''}".rstrip())
         if isinstance(n, ast.Name):
             return Tree("Name", self.name(n.id))
         if isinstance(n, ast.arg):
@@ -247,6 +258,10 @@ class Canonical:
             pairs = [Tree("pair", None, tuple(self.node(x) for x in (k, v) if x is not None)) for k, v in zip(n.keys, n.values, strict=True)]
             return Tree(kind, None, tuple(sorted(pairs, key=lambda p: repr(p.children[0]))) if all(n.keys) else tuple(pairs))
         label = next((f"E{getattr(n, f)}" for f in ("name", "attr", "module") if isinstance(getattr(n, f, None), str)), None)
+        if isinstance(n, ast.FormattedValue):
+            label = f"E{n.conversion}"
+        if isinstance(n, ast.MatchClass):
+            label = "E" + " ".join(n.kwd_attrs)
         children = []
         for field, value in ast.iter_fields(n):
             if field in ("ctx", "type_comment", "returns", "annotation", "decorator_list", "lineno") or value is None:
@@ -265,6 +280,19 @@ class Canonical:
             children[-1] = Tree("body", None, children[-1].children[:-1])
         return Tree(kind, label, tuple(children))
 
+    def arguments(self, a: ast.arguments) -> Tree:
+        """Parameters in order of their kinds; a default is below its parameter."""
+        plain = [*a.posonlyargs, *a.args]
+        values = dict(zip([x.arg for x in plain[len(plain) - len(a.defaults) :]], a.defaults, strict=True))
+        values |= {x.arg: v for x, v in zip(a.kwonlyargs, a.kw_defaults, strict=True) if v is not None}
+        own = []
+        for kind, found in (("Name", a.posonlyargs), ("Name", a.args), ("Star", [a.vararg]), ("Keyword", a.kwonlyargs), ("Stars", [a.kwarg])):
+            for x in found:
+                if x is not None:
+                    below = (self.node(values[x.arg]),) if x.arg in values else ()
+                    own.append(Tree(kind, f"E{x.arg}" if kind == "Keyword" else self.name(x.arg), below))
+        return Tree("args", None, tuple(own))
+
     def chain(self, n: ast.expr, op: type) -> list[ast.expr]:
         return [*self.chain(n.left, op), n.right] if isinstance(n, ast.BinOp) and isinstance(n.op, op) else [n]
 
@@ -276,8 +304,33 @@ def tokens(t: Tree) -> int:
     return 1 + sum(map(tokens, t.children))
 
 
+#: Trees of more levels are one opaque node: what recurses over trees must not run out of stack on odd files.
+MAX_DEPTH = 120
+
+
+def depth(n: ast.AST) -> int:
+    """Levels of a syntax tree, without recursion."""
+    level, deep = [n], 0
+    while level:
+        level, deep = [c for x in level for c in ast.iter_child_nodes(x)], deep + 1
+    return deep
+
+
+def opaque(f: ast.AST) -> Tree:
+    """A function whose tree is too deep: equal to itself alone, by its nodes in the order of their levels."""
+    shown = hashlib.md5()
+    for n in ast.walk(f):
+        shown.update(type(n).__name__.encode())
+        for field, value in ast.iter_fields(n):
+            if not isinstance(value, (ast.AST, list)) or isinstance(value, list) and not any(isinstance(x, ast.AST) for x in value):
+                shown.update(f"{field}={value!r};".encode())
+    return Tree("FunctionDef", f"E{shown.hexdigest()}")
+
+
 def canonical(f: ast.AST) -> tuple[Tree, list[tuple[int, int]]]:
     """The canonical tree of a function, and repeats (count, tokens of one) that were folded."""
+    if depth(f) > MAX_DEPTH:
+        return opaque(f), []
     f = tail_recursion_to_loop(copy.deepcopy(f))
     f = CoreLoops().visit(IndexLoops().visit(f))
     f.body = loop_exits_to_returns(f.body)
@@ -313,9 +366,10 @@ def units_of(source: str, path: str = "memory.py") -> list[Unit]:
         if (word := pragma(lines, f.lineno + shift)) == "ignore":
             continue
         tree, repeats = canonical(f)
-        decorated = any("test" in ast.unparse(d) for d in f.decorator_list)
+        deep = not tree.children
+        decorated = any("test" in ast.unparse(d) for d in f.decorator_list if depth(d) <= MAX_DEPTH)
         test = testy or f.name.startswith("test_") or f.name.endswith("_test") or decorated
-        out.append(Unit(f.name, f.lineno + shift, (f.end_lineno or f.lineno) + shift, tree, tokens(tree), degraded, test, word == "accept-drift", repeats))
+        out.append(Unit(f.name, f.lineno + shift, (f.end_lineno or f.lineno) + shift, tree, tokens(tree), degraded or deep, test, word == "accept-drift", repeats))
     return out
 
 

@@ -80,14 +80,13 @@ def internal_repeats(lines: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     A run is an island of lines equal to those a period before. One that lies in a run of a smaller period goes.
     """
     seq = Window.partitionBy("unit_id").orderBy("line_no")
-    at = lines.select("unit_id", F.md5("line").alias("h"), "line_tokens", F.row_number().over(seq).alias("at"))
-    found = None
-    own = Window.partitionBy("unit_id").orderBy("at")
-    for p in range(1, t.fold_max_period + 1):
-        same = at.withColumn("prev", F.lag("h", p).over(own)).where("prev = h").withColumn("island", F.col("at") - F.row_number().over(own))
-        runs = same.groupBy("unit_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("line_tokens").alias("toks"))
-        runs = runs.select("unit_id", F.lit(p).cast("long").alias("period"), (F.col("lo") - p).cast("long").alias("start_at"), F.col("hi").cast("long").alias("hi"), F.expr(f"(n + {p}) div {p}").cast("long").alias("n_repeats"), F.expr(f"toks * {p} div n").cast("long").alias("template_tokens"))
-        found = runs if found is None else found.unionByName(runs)
+    at = lines.select("unit_id", "line", "line_tokens", F.row_number().over(seq).alias("at"), *(F.lag("line", p).over(seq).alias(f"l{p}") for p in range(1, t.fold_max_period + 1)))
+    # One pass for all periods: each line with the periods after which it comes again.
+    periods = F.array_compact(F.array(*(F.when(F.col(f"l{p}") == F.col("line"), F.lit(p)) for p in range(1, t.fold_max_period + 1))))
+    same = at.select("unit_id", "at", "line_tokens", F.explode(periods).alias("p"))
+    same = same.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("unit_id", "p").orderBy("at")))
+    runs = same.groupBy("unit_id", "p", "island").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("line_tokens").alias("toks"))
+    found = runs.select("unit_id", F.col("p").cast("long").alias("period"), (F.col("lo") - F.col("p")).cast("long").alias("start_at"), F.col("hi").cast("long").alias("hi"), F.expr("(n + p) div p").cast("long").alias("n_repeats"), F.expr("toks * p div n").cast("long").alias("template_tokens"))
     found = found.where((F.col("n_repeats") >= t.fold_min_repeats) & (F.col("template_tokens") * F.col("n_repeats") >= t.min_seq_tokens))
     inside = "o.period < i.period and o.start_at <= i.start_at and i.hi <= o.hi"
     kept = found.alias("i").join(found.alias("o"), (F.col("i.unit_id") == F.col("o.unit_id")) & F.expr(inside), "left_anti")

@@ -30,6 +30,15 @@ def shared_count_pairs(bags: DataFrame, cap: int) -> DataFrame:
     return a.join(b, ["lang", "g"]).where("unit_a < unit_b").groupBy("lang", "unit_a", "unit_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def bag_jaccard(bags: DataFrame, cap: int, least: float) -> DataFrame:
+    """Pairs of shared_count_pairs whose shared grams reach the share of all; each row carries its unit's bag size."""
+    capped = owned_between(bags, 2, cap).select("lang", "g", "unit_id", "bag")
+    a, b = (capped.withColumnsRenamed({"unit_id": f"unit_{k}", "bag": f"bag_{k}"}) for k in "ab")
+    pairs = a.join(b, ["lang", "g"]).where("unit_a < unit_b").groupBy("lang", "unit_a", "unit_b").agg(F.count(F.lit(1)).alias("shared"), F.first("bag_a").alias("bag_a"), F.first("bag_b").alias("bag_b"))
+    sim = F.col("shared").cast("double") / (F.col("bag_a") + F.col("bag_b") - F.col("shared")).cast("double")
+    return pairs.withColumn("sim", sim).where(F.col("sim") >= least).select("lang", "unit_a", "unit_b", "shared", F.round("sim", 6).alias("similarity"))
+
+
 def jaccard(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     """Pairs whose shared grams reach the share of all; sizes has unit_id and bag, over-frequent grams included."""
     a = sizes.select(F.col("unit_id").alias("unit_a"), F.col("bag").alias("bag_a"))

@@ -58,8 +58,7 @@ def bag_pairs(spark, d):
 
 
 def bag_jaccard(spark, d):
-    bags = T.bags(_reps(spark, d), DEFAULT.gram)
-    return retrieval.jaccard(retrieval.shared_count_pairs(bags, DEFAULT.df_cap), bags.select("unit_id", "bag").distinct(), DEFAULT.candidate_sim)
+    return retrieval.bag_jaccard(T.bags(_reps(spark, d), DEFAULT.gram), DEFAULT.df_cap, DEFAULT.candidate_sim)
 
 
 def _landmarks(spark, d):
@@ -93,8 +92,11 @@ def pair_exclusion(spark, d):
 
 
 def pair_parity(spark, d):
-    """Pairs that the bags find and landmarks lose."""
-    return bag_jaccard(spark, d).select("unit_a", "unit_b").exceptAll(landmark_candidates(spark, d).select("unit_a", "unit_b"))
+    """How many pairs of each language both ways find, and how many only bags or only landmarks."""
+    found = [x.select("lang", "unit_a", "unit_b", F.lit(1).alias(k)) for k, x in (("bag", bag_jaccard(spark, d)), ("mark", landmark_candidates(spark, d)))]
+    both = found[0].join(found[1], ["lang", "unit_a", "unit_b"], "full")
+    count = lambda a, b: F.count_if((F.col("bag").isNotNull() == F.lit(a)) & (F.col("mark").isNotNull() == F.lit(b)))
+    return both.groupBy("lang").agg(count(True, True).alias("n_both"), count(True, False).alias("n_bag_only"), count(False, True).alias("n_landmark_only"))
 
 
 def kgram_regions(spark, d):
@@ -268,23 +270,45 @@ def check_new(spark, d):
     return drift.new_groups(_member_spans(spark, d), base, diff_hunks(spark, d))
 
 
+#: Words at the end of a labelled document that its earlier wording lacks.
+CHANGED_WORDS = 20
+
+
+def _near_state(units_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Near groups by their smallest unit (fingerprint, n_members, divergence), and their members."""
+    pairs = graph.cut(retrieval.bag_jaccard(T.bags(T.representatives(units_), DEFAULT.gram), DEFAULT.df_cap, DEFAULT.candidate_sim))
+    parts = graph.connected_components(pairs)
+    return graph.group_summary(pairs, parts).select(F.col("component").alias("fingerprint"), "n_members", F.col("max_div").alias("divergence")), parts
+
+
+def _earlier_wording(spark, d) -> DataFrame:
+    """All units as they were before the change: labelled documents lack their last words."""
+    labelled = T.table(spark, d, "labels").select(F.col("doc_id").alias("unit_id"), F.lit(True).alias("labelled")).distinct()
+    toks = F.when(F.col("labelled"), F.slice("toks", 1, F.greatest(F.size("toks") - CHANGED_WORDS, F.lit(0)))).otherwise(F.col("toks"))
+    own = _units(spark, d).join(labelled, "unit_id", "left").withColumn("toks", toks).drop("labelled")
+    return own.withColumns({"token_count": F.size("toks").cast("long"), "fp": F.md5(F.array_join("toks", " "))})
+
+
+def _near_change(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Near groups now, with how many members the change touched, and before."""
+    now, parts = _near_state(_units(spark, d))
+    spans = parts.withColumnRenamed("component", "fingerprint").join(_spans(spark, d), "unit_id")
+    touched = drift.counted(spans, diff_hunks(spark, d)).select("fingerprint", "n_touched")
+    return graph.cut(now.join(touched, "fingerprint")), _near_state(_earlier_wording(spark, d))[0]
+
+
 def check_worsened(spark, d):
+    """Touched groups that gained members or whose divergence grew: exact families since the state without labelled
+    documents, near groups since the earlier wording."""
     base = findings.exact_groups(_earlier(spark, d)).select(F.concat("lang", F.lit("-"), "fingerprint").alias("fingerprint"), "n_members", F.lit(0.0).alias("divergence"))
-    now = drift.counted(_member_spans(spark, d), diff_hunks(spark, d)).withColumn("divergence", F.lit(0.0))
-    return drift.worsened(now, base)
+    exact = drift.worsened(drift.counted(_member_spans(spark, d), diff_hunks(spark, d)).withColumn("divergence", F.lit(0.0)), base)
+    near = drift.worsened(*_near_change(spark, d))
+    return exact.unionByName(near.withColumn("fingerprint", F.concat(F.lit("near-"), "fingerprint")))
 
 
 def check_drifting(spark, d):
-    """Near groups whose divergence grew since the earlier state, named by their smallest unit."""
-    before = T.representatives(_earlier(spark, d))
-    bags = T.bags(before, DEFAULT.gram)
-    old_pairs = graph.cut(retrieval.jaccard(retrieval.shared_count_pairs(bags, DEFAULT.df_cap), bags.select("unit_id", "bag").distinct(), DEFAULT.candidate_sim))
-    base = graph.group_summary(old_pairs, graph.connected_components(old_pairs)).select(F.col("component").alias("fingerprint"), F.col("max_div").alias("divergence"))
-    pairs = graph.cut(bag_jaccard(spark, d))
-    parts = graph.connected_components(pairs)
-    spans = parts.withColumnRenamed("component", "fingerprint").join(_spans(spark, d), "unit_id")
-    now = graph.group_summary(pairs, parts).select(F.col("component").alias("fingerprint"), F.col("max_div").alias("divergence"))
-    return drift.drifting(now.join(drift.counted(spans, diff_hunks(spark, d)), "fingerprint"), base)
+    """Untouched near groups whose divergence grew since the earlier wording."""
+    return drift.drifting(*_near_change(spark, d))
 
 
 def base_member_mapping(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..config import DEFAULT as D
+from .queries import CHANGED_WORDS
 
 _TOKS = "list_transform(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN x IN ('0', '1') THEN x ELSE regexp_replace(lower(x), '[0-9]+', 'INT', 'g') END)"
 _GROUP = "lang || '-' || fp"
@@ -109,15 +110,17 @@ CTES: dict[str, str] = {
     "old_docs": "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "old_units": _units("old_docs"),
     "old_exact": f"SELECT {_GROUP} AS fingerprint, count(*) AS n_members FROM old_units WHERE token_count >= {D.min_unit_tokens} GROUP BY ALL HAVING count(*) >= 2",
-    "old_reps": _reps("old_units"),
-    "old_grams": _grams("old_reps", D.gram),
-    "old_bags": "SELECT DISTINCT unit_id, lang, g FROM old_grams",
-    "old_bags_size": "SELECT unit_id, count(*) AS bag FROM old_bags GROUP BY unit_id",
-    "old_bags_capped": _capped("old_bags"),
-    "old_near": _jaccard("old_bags"),
-    "old_near_reach": _reach("old_near"),
-    "old_near_parts": _closure("old_near"),
-    "old_summary": _summary("old_near", "old_near_parts"),
+    "was_units": f"SELECT * REPLACE (len(toks)::BIGINT AS token_count, md5(array_to_string(toks, ' ')) AS fp) FROM (SELECT * REPLACE (CASE WHEN unit_id IN (SELECT doc_id FROM labels) THEN toks[1:greatest(len(toks) - {CHANGED_WORDS}, 0)] ELSE toks END AS toks) FROM units)",
+    "was_reps": _reps("was_units"),
+    "was_grams": _grams("was_reps", D.gram),
+    "was_bags": "SELECT DISTINCT unit_id, lang, g FROM was_grams",
+    "was_bags_size": "SELECT unit_id, count(*) AS bag FROM was_bags GROUP BY unit_id",
+    "was_bags_capped": _capped("was_bags"),
+    "was_near": _jaccard("was_bags"),
+    "was_near_reach": _reach("was_near"),
+    "was_near_parts": _closure("was_near"),
+    "was_summary": _summary("was_near", "was_near_parts"),
+    "near_touched": "SELECT component, count(*) AS n_members, count(*) FILTER (unit_id IN (SELECT unit_id FROM touched)) AS n_touched FROM near_parts GROUP BY component",
     "def_rows": "SELECT lang, dir, unit_id, string_split(line, ' ')[1] AS name FROM line_rows WHERE line_no = 1",
     "call_rows": "SELECT lang, dir, unit_id, line_no, string_split(line, ' ')[1] AS name FROM line_rows WHERE line_no > 1",
     "named": f"SELECT doc_id AS unit_id, coalesce(source, '') AS file, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')[1:3], ' ') AS name, doc_id * 10 AS line0, doc_id * 10 + 9 AS line1 FROM documents",
@@ -164,7 +167,7 @@ _QUERIES = {
     "size_gate": "SELECT unit_a, unit_b, ta, tb FROM gated",
     "offset_histogram": f"SELECT g.unit_a, g.unit_b, coalesce(v.votes, 0)::BIGINT AS votes, greatest({D.histogram_min_votes}, least(a.inv, b.inv) // 8)::BIGINT AS needed, coalesce(v.votes, 0) >= greatest({D.histogram_min_votes}, least(a.inv, b.inv) // 8) AS passed FROM gated g LEFT JOIN votes v ON v.unit_a = g.unit_a AND v.unit_b = g.unit_b JOIN inventory a ON a.unit_id = g.unit_a JOIN inventory b ON b.unit_id = g.unit_b",
     "pair_exclusion": "SELECT unit_a, unit_b, shared FROM marked WHERE (unit_a, unit_b) NOT IN (SELECT (unit_a, unit_b) FROM near)",
-    "pair_parity": "SELECT unit_a, unit_b FROM near EXCEPT ALL SELECT unit_a, unit_b FROM marked",
+    "pair_parity": "SELECT lang, count(*) FILTER (b AND m) AS n_both, count(*) FILTER (b AND NOT m) AS n_bag_only, count(*) FILTER (m AND NOT b) AS n_landmark_only FROM (SELECT lang, unit_a, unit_b, bool_or(b) AS b, bool_or(m) AS m FROM (SELECT lang, unit_a, unit_b, true AS b, false AS m FROM near UNION ALL SELECT lang, unit_a, unit_b, false, true FROM marked) GROUP BY ALL) GROUP BY lang",
     "kgram_regions": "SELECT lang, unit_a, unit_b, pos_a, pos_b, length FROM regions",
     "region_containment": f"SELECT lang, unit_a, unit_b, pos_a, pos_b, length FROM regions i WHERE NOT EXISTS (SELECT 1 FROM regions o WHERE o.unit_a = i.unit_a AND o.unit_b = i.unit_b AND {_INSIDE})",
     "nested_exclusion": "SELECT unit_id, b0, b1 FROM run_spans i WHERE NOT EXISTS (SELECT 1 FROM run_spans o WHERE o.unit_id = i.unit_id AND o.b0 <= i.b0 AND i.b1 <= o.b1 AND (o.b0 < i.b0 OR i.b1 < o.b1))",
@@ -193,8 +196,8 @@ _QUERIES = {
     "touched_units": "SELECT unit_id FROM touched",
     "inconsistent_update": "SELECT fingerprint, n_members, n_touched FROM counted WHERE n_touched > 0 AND n_touched < n_members",
     "check_new": "SELECT fingerprint, n_members, n_touched FROM counted WHERE n_touched > 0 AND fingerprint NOT IN (SELECT fingerprint FROM old_exact)",
-    "check_worsened": "SELECT n.fingerprint, b.n_members AS was, n.n_members AS now, n.n_touched FROM counted n JOIN old_exact b USING (fingerprint) WHERE n.n_touched > 0 AND n.n_members > b.n_members",
-    "check_drifting": f"SELECT n.component AS fingerprint, b.max_div AS was, n.max_div AS now FROM near_summary n JOIN old_summary b ON b.component = n.component WHERE round(n.max_div - b.max_div, 6) > {D.drift_epsilon} AND n.component NOT IN (SELECT component FROM near_parts JOIN touched USING (unit_id))",
+    "check_worsened": f"SELECT n.fingerprint, b.n_members AS was, n.n_members AS now, n.n_touched FROM counted n JOIN old_exact b USING (fingerprint) WHERE n.n_touched > 0 AND n.n_members > b.n_members UNION ALL SELECT 'near-' || n.component, b.n_members AS was, n.n_members AS now, t.n_touched FROM near_summary n JOIN was_summary b ON b.component = n.component JOIN near_touched t ON t.component = n.component WHERE t.n_touched > 0 AND (n.n_members > b.n_members OR round(n.max_div - b.max_div, 6) > {D.drift_epsilon})",
+    "check_drifting": f"SELECT n.component AS fingerprint, b.max_div AS was, n.max_div AS now FROM near_summary n JOIN was_summary b ON b.component = n.component JOIN near_touched t ON t.component = n.component WHERE t.n_touched = 0 AND round(n.max_div - b.max_div, 6) > {D.drift_epsilon}",
     "base_member_mapping": """SELECT b.unit_id AS member_id, m.x.u AS unit_id, CASE WHEN m.x.s THEN 'span' WHEN NOT m.x.s THEN 'name' ELSE 'none' END AS matched_by FROM old_members b LEFT JOIN mapped m ON m.member_id = b.unit_id""",
     "scc": "SELECT src AS node, least(min(dst), src) AS scc, count(*) AS scc_size FROM ways w WHERE EXISTS (SELECT 1 FROM ways v WHERE v.src = w.dst AND v.dst = w.src) GROUP BY src HAVING count(*) > 1",
     "jscpd_pairs": f"SELECT {_GROUP} AS group_id, first_unit AS first_id, unit_id AS second_id FROM family WHERE unit_id <> first_unit",

@@ -13,7 +13,7 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 
 def xml_escape(text: Column) -> Column:
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return text
 
