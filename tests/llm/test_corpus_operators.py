@@ -147,13 +147,39 @@ def test_gradients_equal_differences():
             assert abs((up - down) / 2e-2 - grad[k]) < 2e-3
 
 
+def test_pooled_positions_equal_the_network_run_plainly():
+    net, rng = language_id.Network.new(["a", "b", "c"], hidden=4, seed=3), random.Random(5)
+    size, extra = language_id.WINDOW, language_id.CONTEXT
+    lengths = [0, 1, 5, size - 1, size, size + 1, size + extra, 3 * size + 7, 40 * size]
+    texts = [bytes(rng.choice(b"aZ z.09\xc3\xa9\n") for _ in range(n)) for n in lengths] + [b"12 ..", b" " * size + b"x" + b" " * size]
+    logs, positions = language_id.pooled(net, texts)
+    for k, text in enumerate(texts):
+        text, total, n = text.lower(), np.zeros(3), 0
+        for at in range(0, len(text), size):
+            left = max(0, at - extra)
+            x, live = language_id.padded([text[left : at + size + extra]])
+            labels = net.run(x, live)[0][:, 0]
+            for place in range(at, min(at + size, len(text))):
+                if 97 <= text[place] <= 122 or text[place] >= 128:
+                    total, n = total + labels[place - left], n + 1
+        assert positions[k] == n
+        assert np.allclose(logs[k] * max(n, 1), total, atol=1e-3 * max(n, 1))
+
+
+def test_labels_depend_on_the_words_around():
+    net = language_id.Network.new(["a", "b"], hidden=4, seed=3)
+    one, two = (language_id.padded([t])[0] for t in (b"xyz same", b"abc same"))
+    live = np.ones(one.shape, np.float32)
+    assert not np.allclose(net.run(one, live)[0][4:], net.run(two, live)[0][4:], atol=1e-6)
+
+
 def test_language_of_unseen_texts(spark):
     rng = random.Random(2)
     vocabulary = {"xx": ["ka", "lo", "mira", "kato"], "yy": ["szu", "grr", "öst", "wrz"]}
     rows = [(k, " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.randint(1, 30))), lang) for k in range(200) for lang in [rng.choice(["xx", "yy"])]]
     df = frame(spark, [*rows, (1000, None, "xx"), (1001, "123 ...", "yy"), (1002, "ka lo", None), (None, "ka lo mira", "xx")])
     texts, langs = language_id.training_rows(df)
-    net = language_id.train(texts, langs, steps=120, words_per_lang=500)
+    net = language_id.train(texts, langs, steps=120, windows_per_lang=500)
     out = {r["doc_id"]: r for r in language_id.identify(df, net).collect()}
     assert all(out[k]["lang_pred"] == lang for k, _, lang in rows) and any(r["held_out"] for r in out.values())
     assert out[1000]["lang_pred"] == out[1001]["lang_pred"] == "und" and out[1002]["lang_pred"] == "xx" and out[None]["held_out"] is False

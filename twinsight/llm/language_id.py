@@ -1,9 +1,9 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes from both ends and labels every position; it is trained in numpy by backpropagation
-through time. Its state starts anew at each word, so equal words have equal labels: each distinct word of a batch goes
-through the network once, and a worker keeps what it has seen. A document's probabilities are the normalised geometric
-mean of those of all its positions, over the whole text.
+The network reads the whole text from both ends of each window and labels every byte; it is trained in numpy by
+backpropagation through time. Windows overlap: a position is pooled from the one window in which it has CONTEXT bytes of
+the text on either side, or the text's end, so state runs across words and spaces. A document's probabilities are the
+normalised geometric mean of those at all its letters (and all bytes of longer characters), over the whole text.
 
 Defined results: null text, or text without a letter, is `und` with score 0; documents with null lang, or in the
 held-out fifth, are not learned from; without any training row every result is `und`; repeated rows give repeated
@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import Words, arrow_map, by_pieces, held_out, utf8
+from ._shared import arrow_map, by_pieces, held_out, utf8
 
 #: Rows of each language that training sees, those with the smallest hash of the identifier.
 DOCS_PER_LANG = 120
-#: Words of each language, drawn from these rows.
-WORDS_PER_LANG = 12_000
-HIDDEN, STEPS, BATCH, RATE, SEED = 16, 450, 384, 0.02, 7
-#: Longer words are read in segments of so many bytes.
-SEGMENT = 24
-#: Distinct segments that one Python worker keeps.
-KEEP = 400_000
+#: Windows of each language, drawn from these rows, and their bytes.
+WINDOWS_PER_LANG, TRAIN_BYTES = 12_000, 48
+HIDDEN, STEPS, BATCH, RATE, SEED = 12, 300, 256, 0.02, 7
+#: Bytes of a window that are pooled, and those read on either side of them for context alone.
+WINDOW, CONTEXT = 224, 16
+#: Windows that go through the network at once, fewer with more than LANGS languages.
+ROWS, LANGS = 1024, 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -68,6 +68,34 @@ class Direction:
             state = new
         return np.stack(states), kept
 
+    def read(self, x: np.ndarray, live: np.ndarray, out: np.ndarray) -> None:
+        """The states of forward() into out, steps by units by rows, without what backward needs."""
+        h, n = self.h, x.shape[1]
+        # sigmoid(v) = tanh(v / 2) / 2 + 1 / 2, with the inner half in the weights. Units come first: slices are whole blocks.
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
+        inputs = np.ascontiguousarray(((self.inputs + self.bias) * half).T)
+        recur = np.ascontiguousarray((self.recur * half).T)
+        state, a, u = np.zeros((h, n), np.float32), np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32)
+        gates, z, r, c = a[: 2 * h], a[:h], a[h : 2 * h], a[2 * h :]
+        full = live.all(1)
+        for t in range(len(x)):
+            np.take(inputs, x[t], axis=1, out=a, mode="clip")
+            np.matmul(recur, state, out=u)
+            gates += u[: 2 * h]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            r *= u[2 * h :]
+            c += r
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(state, c, out=new)
+            new *= z
+            new += c
+            if not full[t]:
+                np.copyto(new, state, where=live[t] == 0)
+            state = new
+
     def backward(self, x: np.ndarray, kept: list, grads: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the parameters, given those of the states after each step."""
         h = self.h
@@ -111,6 +139,20 @@ class Network:
         logits -= logits.max(2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(2, keepdims=True)), (fk, bk, both)
 
+    def sums(self, x: np.ndarray, live: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Rows by languages: log-probabilities summed over the positions of each row, each times its weight."""
+        h, (steps, n) = self.ahead.h, x.shape
+        both = np.empty((2, steps, h, n), np.float32)
+        self.ahead.read(x, live, both[0])
+        self.back.read(x[::-1], live[::-1], both[1, ::-1])
+        logits = np.matmul(self.out[:h].T, both[0])
+        logits += np.matmul(self.out[h:].T, both[1])
+        logits += self.out_bias[:, None]
+        logits -= logits.max(1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        logits *= weight[:, None, :]
+        return logits.sum(0, dtype=np.float64).T
+
     def gradients(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
         """Mean loss over all positions, and each parameter with its gradient."""
         logs, (fk, bk, both) = self.run(x, live)
@@ -138,17 +180,21 @@ def padded(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x.T.copy(), live.T.astype(np.float32)
 
 
-def train(texts: list[bytes], langs: list[str], steps: int = STEPS, words_per_lang: int = WORDS_PER_LANG, seed: int = SEED) -> Network | None:
-    """Fit a network by Adam on words drawn from texts, as many of each language."""
+def train(texts: list[bytes], langs: list[str], steps: int = STEPS, windows_per_lang: int = WINDOWS_PER_LANG, seed: int = SEED) -> Network | None:
+    """Fit a network by Adam on windows drawn from texts with a letter, as many of each language."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     pools = []
     for name in names:
-        words = [w[i : i + SEGMENT] for t, lang in zip(texts, langs, strict=True) if lang == name for w in t.lower().split() if _LETTER[np.frombuffer(w, np.uint8)].any() for i in range(0, len(w), SEGMENT)]
-        pools.append([words[i] for i in rng.integers(0, len(words), words_per_lang)] if words else [])
-    examples = [(w, k) for k, pool in enumerate(pools) for w in pool]
+        own = [t.lower() for t, lang in zip(texts, langs, strict=True) if lang == name and _LETTER[np.frombuffer(t, np.uint8)].any()]
+        pool = []
+        for k in rng.integers(0, len(own), windows_per_lang) if own else ():
+            at = int(rng.integers(0, max(1, len(own[k]) - TRAIN_BYTES + 1)))
+            pool.append(own[k][at : at + TRAIN_BYTES])
+        pools.append(pool)
+    examples = [(w, k) for k, pool in enumerate(pools) for w in pool if w]
     net = Network.new(names, seed=seed)
     if not examples:
         return net
@@ -167,47 +213,36 @@ def train(texts: list[bytes], langs: list[str], steps: int = STEPS, words_per_la
     return net
 
 
-class Labeller:
-    """Sums of log-probabilities over the positions of words, remembered by the words' hashes."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(net.langs)))
-
-    def _network_sums(self, words: list[bytes]) -> np.ndarray:
-        segments = [(w[i : i + SEGMENT], k) for k, w in enumerate(words) for i in range(0, len(w), SEGMENT)]
-        segments.sort(key=lambda s: len(s[0]))
-        out = np.zeros((len(words), len(self.net.langs)))
-        for at in range(0, len(segments), 4096):
-            part = segments[at : at + 4096]
-            x, live = padded([s for s, _ in part])
-            logs, _ = self.net.run(x, live)
-            np.add.at(out, [k for _, k in part], (logs * live[:, :, None]).sum(0))
-        return out
-
-    def pooled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probabilities over all positions of words with a letter, and how many positions there are."""
-        w = Words([t.lower() for t in texts])
-        letters = np.concatenate(([0], np.cumsum(_LETTER[w.bytes])))
-        use = letters[w.end] > letters[w.start]
-        start, end, text = w.start[use], w.end[use], w.text[use]
-        hashes, first, where = np.unique(w.hashes(lower=False)[use], return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, hashes)
-        have = (at < len(self.known)) & (self.known[np.minimum(at, max(len(self.known) - 1, 0))] == hashes) if len(self.known) else np.zeros(len(hashes), bool)
-        sums = np.zeros((len(hashes), len(self.net.langs)))
-        sums[have] = self.sums[at[have]]
-        if not have.all():
-            data = w.bytes.tobytes()
-            sums[~have] = self._network_sums([data[a:b] for a, b in zip(start[first[~have]], end[first[~have]], strict=True)])
-            if len(self.known) + len(hashes) > KEEP:
-                self.known, self.sums = hashes, sums
-            else:
-                known = np.concatenate((self.known, hashes[~have]))
-                order = np.argsort(known)
-                self.known, self.sums = known[order], np.concatenate((self.sums, sums[~have]))[order]
-        positions = np.bincount(text, end - start, len(texts))
-        total = np.column_stack([np.bincount(text, sums[where, k], len(texts)) for k in range(sums.shape[1])])
-        return total / np.maximum(positions, 1)[:, None], positions
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first pooled position and end of the pooled positions of each window over texts of such sizes."""
+    counts = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), counts)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+    return text, start, np.minimum(start + WINDOW, sizes[text])
+
+
+def pooled(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-probabilities over all letters of each text, and how many there are."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(t.lower() for t in texts), np.uint8)
+    is_letter = _LETTER[data]
+    letters = np.concatenate(([0], np.cumsum(is_letter)))
+    base = np.cumsum(sizes) - sizes
+    text, start, end = windows(sizes)
+    left, right = np.maximum(start - CONTEXT, 0), np.minimum(end + CONTEXT, sizes[text])
+    use = letters[base[text] + end] > letters[base[text] + start]
+    order = np.flatnonzero(use)[np.argsort((right - left)[use], kind="stable")]
+    total = np.zeros((len(texts), len(net.langs)))
+    rows = max(1, ROWS * LANGS // max(LANGS, len(net.langs)))
+    for at in range(0, len(order), rows):
+        part = order[at : at + rows]
+        step = np.arange((right - left)[part].max())[:, None]
+        live = step < (right - left)[part]
+        place = np.minimum((base[text] + left)[part] + step, len(data) - 1)
+        weight = is_letter[place] & (step >= (start - left)[part]) & (step < (end - left)[part])
+        np.add.at(total, text[part], net.sums(np.where(live, data[place], 256), live, weight.astype(np.float32)))
+    positions = letters[base + sizes] - letters[base]
+    return total / np.maximum(positions, 1)[:, None], positions
 
 
 def training_rows(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> tuple[list[bytes], list[str]]:
@@ -227,14 +262,13 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
     names = ["doc_id", "held_out", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = net and Labeller(net)
         for batch in by_pieces(batches, "text"):
             texts = utf8(batch.column(2))
             found = np.array([_has_letter(t) for t in texts], bool)
-            if labeller is None or not found.any():
+            if net is None or not found.any():
                 lang, score = ["und"] * len(texts), np.zeros(len(texts))
             else:
-                logs, positions = labeller.pooled(texts)
+                logs, positions = pooled(net, texts)
                 p = np.exp(logs - logs.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 found &= positions > 0
