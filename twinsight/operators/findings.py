@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, FAIL_RANK, Thresholds
+from .graph import cut
 
 
 def value(members: Column, tokens: Column, dirs: Column) -> Column:
@@ -54,15 +55,34 @@ def sectioned(groups: DataFrame, members: DataFrame, tests: DataFrame, mode: str
     return out.withColumn("section", F.when(F.col("all_tests") & F.lit(mode == "separate"), "test").otherwise("main")).drop("all_tests")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Add each row's number among those of equal keys, from 1.
+
+    Rows are dealt by ranges of keys and order and counted in each range, so tasks share a group of any size.
+    """
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("range_no", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "range_no").agg(F.count(F.lit(1)).alias("n_range"))
+    counts = counts.withColumn("n_earlier", F.coalesce(F.sum("n_range").over(earlier), F.lit(0))).drop("n_range")
+    inside = F.row_number().over(Window.partitionBy(*keys, "range_no").orderBy(*order))
+    return dealt.withColumn(name, inside).join(counts, [*keys, "range_no"]).withColumn(name, (F.col(name) + F.col("n_earlier")).cast("long")).drop("range_no", "n_earlier")
+
+
+def rank_order() -> list:
+    return [F.desc("value"), F.desc("token_count"), F.asc("first_unit"), F.asc("tier")]
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Add rank within the section: value, then tokens, then first member, then tier."""
-    order = Window.partitionBy("section").orderBy(F.desc("value"), F.desc("token_count"), "first_unit", "tier")
-    return findings.withColumn("rank", F.row_number().over(order).cast("long"))
+    return numbered(findings, ["section"], rank_order(), "rank")
 
 
 def topk(findings: DataFrame, k: int) -> DataFrame:
     """The k best of each section, 0 for all; Spark limits each task's rows before they meet."""
-    return ranked(findings).where(F.lit(k == 0) | (F.col("rank") <= k))
+    if k == 0:
+        return ranked(findings)
+    order = Window.partitionBy("section").orderBy(*rank_order())
+    return findings.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def gate(findings: DataFrame, fail_on: str = "exact-normalized") -> DataFrame:

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read back, so that lineage ends and a lost executor costs nothing."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; local mode alone has one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{LOCAL_FALLBACK}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/twinsight/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the folder in spark.checkpoint.dir and read back, so that lineage ends and a lost executor costs nothing."""
+    spark: SparkSession = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/twinsight/{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.parquet(path)

@@ -68,7 +68,11 @@ def extract(files: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, t: Thresholds = DEFAULT, max_holes: int = 5) -> tuple[DataFrame, DataFrame]:
     """Findings (group_id, tier, section, rank, value, ...) and their members."""
-    units = cut(extract(files))
+    return scan_units(cut(extract(files)), t, max_holes)
+
+
+def scan_units(units: DataFrame, t: Thresholds = DEFAULT, max_holes: int = 5) -> tuple[DataFrame, DataFrame]:
+    """scan() of units that are extracted; fingerprint names a group by what its members share, not by where they are."""
     exact = findings.exact_groups(units, t).withColumn("group_id", F.concat("lang", F.lit("-"), "fingerprint"))
     family = findings.exact_members(units, t).select(F.concat("lang", F.lit("-"), "fingerprint").alias("group_id"), "unit_id")
     first = units.where(F.col("token_count") >= t.min_unit_tokens).groupBy("lang", "fp").agg(F.min("unit_id").alias("unit_id"))
@@ -84,12 +88,12 @@ def scan(files: DataFrame, t: Thresholds = DEFAULT, max_holes: int = 5) -> tuple
     sized = sized.withColumn("value", findings.value(F.col("n_members"), F.col("token_count"), F.col("n_dirs")))
     best = summary.select(F.concat(F.lit("near-"), F.col("component")).alias("group_id"), F.col("best_a").alias("unit_a"), F.col("best_b").alias("unit_b"), F.col("max_div").alias("divergence"))
     sized = sized.join(best, "group_id").join(near.select("unit_a", "unit_b", "template"), ["unit_a", "unit_b"])
-    columns = ["group_id", "tier", "n_members", "token_count", "first_unit", "value", "divergence", "template"]
+    columns = ["group_id", "fingerprint", "tier", "n_members", "token_count", "first_unit", "value", "divergence", "template"]
     groups = exact.withColumns({"tier": F.lit("exact-normalized"), "divergence": F.lit(0.0), "template": F.lit(None).cast("string")}).select(columns)
-    groups = groups.unionByName(sized.withColumn("tier", F.lit("near-normalized")).select(columns))
+    groups = groups.unionByName(sized.withColumns({"tier": F.lit("near-normalized"), "fingerprint": F.md5("template")}).select(columns))
     members = cut(family.unionByName(near_members))
     ranked = findings.ranked(findings.sectioned(cut(groups), members, units.where("is_test").select("unit_id")))
-    return ranked, members.join(units.select("unit_id", "path", "name", "line0", "line1", "degraded"), "unit_id")
+    return ranked, members.join(units.select("unit_id", "path", "name", "lang", "line0", "line1", "degraded"), "unit_id")
 
 
 def confirmed(pairs: DataFrame, units: DataFrame) -> DataFrame:
