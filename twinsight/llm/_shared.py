@@ -18,6 +18,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
+#: Bytes of a text that are hashed at a time.
+BLOCK = 1 << 18
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -102,11 +105,16 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.count)))
 
     def hashes(self, lower: bool = True) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, with A-Z read as a-z if lower."""
-        data = self.bytes
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data)
-        return span_hashes(data, self.start, self.end)
+        """A 64-bit hash of each word's bytes, with A-Z read as a-z if lower; made in blocks, so temporaries stay small."""
+        out = np.empty(len(self.start), np.uint64)
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.bytes) + BLOCK, BLOCK)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            at = self.start[i]
+            data = self.bytes[at : self.end[j - 1]]
+            if lower:
+                data = np.where((data >= 65) & (data <= 90), data + 32, data)
+            out[i:j] = span_hashes(data, self.start[i:j] - at, self.end[i:j] - at)
+        return out
 
 
 _powers: dict[str, np.ndarray] = {}
@@ -115,7 +123,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 2 * BLOCK)
         with np.errstate(over="ignore"):
             up, down = np.full(size, _PRIME, np.uint64), np.full(size, _INVERSE, np.uint64)
             up[0] = down[0] = 1
