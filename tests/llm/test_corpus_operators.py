@@ -1,10 +1,13 @@
 """Near-duplicates, decontamination, classifiers and chat links against plain versions, with edge cases."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
 from twinsight.llm import chat_format, decontamination, language_id, near_dedup, quality_classifier
+from twinsight.llm._shared import BLOCK, Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -193,6 +196,62 @@ def test_every_language_is_learned_from(spark):
     assert max(map(langs.count, set(langs))) <= 4
 
 
+def plain_statistics(text):
+    """The statistics of a text, by their names."""
+    words, lines = re.findall(rb"[^\x20\x09-\x0d]+", text), [x for x in text.split(b"\n") if x.strip()]
+    low, n = [w.lower() for w in words], max(1, len(words))
+    pairs, chars = list(zip(low, low[1:])), sum(map(len, words))
+    mean = chars / n
+    share = lambda found: (min(1, len(re.findall(found, text)) / max(1, chars))) ** 0.5
+    return {
+        "log_words": np.log1p(len(words)), "word_length": np.log1p(mean), "word_spread": np.log1p(max(0, sum(len(w) ** 2 for w in words) / n - mean * mean) ** 0.5),
+        "symbols": share(rb"[#*$%&<>^~_={}\[\]\\@]"), "upper": share(rb"[A-Z]"), "digits": share(rb"[0-9]"), "marks": share(rb"[!?.,;:]"), "bars": share(rb"\|"),
+        "distinct_words": len(set(low)) / n, "top_word": (max(Counter(low).values(), default=0) / n) ** 0.5, "distinct_pairs": len(set(pairs)) / max(1, len(words) - 1),
+        "repeated_lines": 1 - max(1, len(set(lines))) / max(1, len(lines)), "line_words": np.log1p(len(words) / max(1, len(lines))),
+        "unended_lines": sum(x.rstrip()[-1:] not in list(map(bytes, zip(b".!?:;\"'"))) for x in lines) / max(1, len(lines)),
+    }
+
+
+def test_quality_statistics_equal_a_plain_version():
+    rng = random.Random(5)
+    texts = ["", " \n\t ", "One", "A|b a|B #*$ 12 [x]\\ ^~\nEnd.\nEnd.\n\n", "é 中文 ½ É", "w" * 700_000 + " tail", " ".join(f"W{rng.randrange(900)}," for _ in range(120_000))]
+    texts = [t.encode() for t in texts + ["".join(rng.choice("aB1 |.#\n\r") for _ in range(rng.randrange(90))) for _ in range(200)]]
+    want = [[plain_statistics(t)[k] for k in quality_classifier.FEATURES] for t in texts]
+    assert np.allclose(quality_classifier.statistics(texts), want, rtol=1e-9, atol=1e-6)
+    assert np.array_equal(quality_classifier.statistics(texts), np.vstack([quality_classifier.statistics([t]) for t in texts]))
+
+
+def test_words_hash_alike_in_any_block():
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"abCD", k=rng.choice((1, 3, 9, 40_000)))) for _ in range(400)] + [b"Z" * 600_000]
+    at_once = Words([b" ".join(words)])
+    assert len(at_once.bytes) > 3 * BLOCK and at_once.count.tolist() == [len(words)]
+    for lower in (False, True):
+        assert at_once.hashes(lower).tolist() == [int(Words([w]).hashes(lower)[0]) for w in words]
+    assert Words([]).hashes().tolist() == Words([b"", b" "]).hashes().tolist() == []
+
+
+def test_quality_model_equals_plain_gaussians(spark):
+    rng = np.random.default_rng(4)
+    d = len(quality_classifier.FEATURES)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) * 0.3 + y[:, None]
+    table = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "x array<double>, y int").repartition(5)
+    sums = quality_classifier.class_sums(table)
+    for k in (0, 1):
+        own = x[y == k]
+        assert sums[k][0] == len(own) and np.allclose(sums[k][1], own.sum(0)) and np.allclose(sums[k][2], sum(np.outer(v, v) for v in own))
+    covariance = {k: np.cov(x[y == k].T, bias=True) for k in (0, 1)}
+    both = sum((y == k).mean() * covariance[k] for k in (0, 1))
+    log = []
+    for k in (0, 1):
+        s = 0.7 * covariance[k] + 0.3 * both
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-3 * np.eye(d)
+        off = x - x[y == k].mean(0)
+        log.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(s), off))
+    assert np.allclose(quality_classifier.Discriminant.fit(sums).score(x), 1 / (1 + np.exp(log[0] - log[1])))
+
+
 def test_quality_separates_and_takes_edge_cases(spark):
     rng = random.Random(1)
     docs = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) + (rng.choice("#*$%") * 3 if k % 2 else "") for _ in range(50))) for k in range(120)]

@@ -37,7 +37,9 @@ _CLASS[[*b"|"]] = 5
 
 def _per_text(keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of each owner, and how often its commonest occurs."""
-    _, first, count = np.unique(mix64(keys ^ mix64(owner.astype(np.uint64))), return_index=True, return_counts=True)
+    # A short word's key is mix64 of a small number; the offset keeps owners' numbers away from these.
+    own = mix64(owner.astype(np.uint64) + np.uint64(0xA24BAED4963EE407))
+    _, first, count = np.unique(mix64(keys ^ own), return_index=True, return_counts=True)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, owner[first], count)
     return np.bincount(owner[first], minlength=n), top
