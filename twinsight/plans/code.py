@@ -61,7 +61,9 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     head = F.when(key % 5 == 0, F.lit("import parts\n\n")).otherwise("")
     pragma = F.when(key % 11 == 0, F.lit("# tool:ignore\n")).when(key % 11 == 1, F.lit("# tool:accept-drift\n")).otherwise("")
     folder = F.when(key % 13 == 0, F.lit("tests")).otherwise(F.lower("p_type"))
-    out = table(spark, d, "part").select(folder.alias("dir"), F.lit("python").alias("lang"), F.concat(head, pragma, code).alias("content"), key)
+    # Parsing costs far more than reading numbers: a file of parts is dealt to all cores before code is written.
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_type").repartition(spark.sparkContext.defaultParallelism)
+    out = parts.select(folder.alias("dir"), F.lit("python").alias("lang"), F.concat(head, pragma, code).alias("content"), key)
     return out.select(F.concat("dir", F.lit("/part_"), "p_partkey", F.lit(".py")).alias("path"), "dir", "lang", "content")
 
 
