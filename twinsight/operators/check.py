@@ -62,8 +62,10 @@ def base_checkout(spark: SparkSession, root: str, ref: str) -> str:
                 data = entries.extractfile(entry)
                 while part := data.read(1 << 20):
                     out.write(part)
+        while git.stdout.read(1 << 20):
+            pass  # padding after the archive's end; git fails if nobody reads it
     if git.returncode:
-        raise ValueError(f"git archive of {ref} failed")
+        raise ValueError(f"git archive of {ref} failed with code {git.returncode}")
     with system.open_output_stream(f"{path}/_DONE") as out:
         out.write(b"")
     return f"{folder}/tree"
