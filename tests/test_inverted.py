@@ -36,6 +36,9 @@ def test_rounds_find_the_pairs_of_joins(spark, folder, monkeypatch, bucket):
     columns = ["lang", "unit_a", "unit_b", "shared"]
     wanted = rows(retrieval.shared_count_pairs(marks, DEFAULT.df_cap).where("shared >= 2"), *columns)
     assert len(wanted) > 10 and rows(queries.landmark_candidates(spark, folder), *columns) == wanted
+    wanted = rows(retrieval.bag_jaccard(T.bags(reps, 5), DEFAULT.df_cap, DEFAULT.candidate_sim), *columns, "similarity")
+    near, _ = queries._near_and_marked(spark, folder)
+    assert len(wanted) > 5 and rows(near, *columns, "similarity") == wanted
 
 
 def test_common_grams_are_counted_over_all_pieces(spark, folder):
@@ -46,7 +49,7 @@ def test_common_grams_are_counted_over_all_pieces(spark, folder):
     assert len(inverted.common_grams(words, 1)) == wanted > 0
 
 
-@pytest.mark.parametrize("query", ["landmark_candidates"])
+@pytest.mark.parametrize("query", ["landmark_candidates", "candidate_union"])
 def test_grams_are_not_shuffled_at_once(spark, folder, query):
     plan = queries.QUERIES[query](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
