@@ -49,7 +49,7 @@ def test_common_grams_are_counted_over_all_pieces(spark, folder):
     assert len(inverted.common_grams(words, 1)) == wanted > 0
 
 
-@pytest.mark.parametrize("query", ["landmark_candidates", "candidate_union", "pair_exclusion", "pair_parity", "size_gate"])
+@pytest.mark.parametrize("query", ["landmark_candidates", "candidate_union", "pair_exclusion", "pair_parity", "size_gate", "subset_dedupe"])
 def test_grams_are_not_shuffled_at_once(spark, folder, query):
     plan = queries.QUERIES[query](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
