@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from twinsight.config import DEFAULT
 from twinsight.operators import inverted, retrieval
 from twinsight.plans import queries
@@ -54,3 +55,16 @@ def test_grams_are_not_shuffled_at_once(spark, folder, query):
     plan = queries.QUERIES[query](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
     assert spark.conf.get(inverted._CLEANUP) == "false"
+
+
+def test_first_units_meet_whole_texts_by_a_hash_join(spark, folder):
+    ids = spark.range(3).select(F.col("id").alias("unit_id"))
+    plan = queries._some_units(T.table(spark, folder, "documents"), ids)._jdf.queryExecution()
+    assert "SortMergeJoin" not in plan.sparkPlan().toString()
+    join = plan.optimizedPlan().toString().split("Join LeftSemi")
+    assert len(join) == 2 and "regexp_replace" in join[0] and "regexp_replace" not in join[1]
+
+
+def test_size_gate_reads_sizes_of_words(spark, folder):
+    plan = queries.size_gate(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
